@@ -5,12 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import encoding, leakage, near_duplicates, splitting, text_form, top_items
+from lodestone.llm import encoding, leakage, near_duplicates, source_origin, splitting, text_form, top_items
 from lodestone.tables import table
 
 TOP_GROUP = ["run_id", "repo", "anchor_type"]
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return source_origin.not_hand_written(table(spark, folder, "source_files")).select("repo", "path")
+
+
+def p1_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    found = source_origin.not_hand_written(table(spark, folder, "source_files"))
+    return found.groupBy("repo", "reason").agg(F.count("*").alias("n_files"))
+
+
+def p1_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    found = source_origin.not_hand_written(table(spark, folder, "source_files"))
+    return source_origin.decisions_on_foreign(table(spark, folder, "path_decisions"), found)
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.similar_records(table(spark, folder, "search_hits"), "doc_id", "snippet", 0.6)
 
@@ -67,6 +81,7 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_reasons": p1_reasons, "p1_decisions": p1_decisions,
     "p3_found": p3_found, "p3_groups": p3_groups,
     "p4_found": p4_found,
     "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_snippets": p5_snippets,
