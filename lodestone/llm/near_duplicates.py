@@ -95,7 +95,7 @@ def sketch_bits(elements: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 def signatures(sets: DataFrame, threshold: float, sizes: list[int]) -> DataFrame:
-    """(sig, set_id, bits) of every set and band in which it can have a partner of a present size."""
+    """(sig, set_id, bits, size) of every set and band in which it can have a partner of a present size."""
     scheme = bands(threshold, max(sizes, default=0))
     present = np.array(sorted(sizes))
 
@@ -119,9 +119,9 @@ def signatures(sets: DataFrame, threshold: float, sizes: list[int]) -> DataFrame
                 part = flat[np.repeat(inside, count)]
                 sig = signature_hashes(part, of, len(chosen), groups, number + 1)
                 each = sig.shape[1]
-                yield pd.DataFrame({"sig": sig.reshape(-1).view(np.int64), "set_id": np.repeat(ids[chosen], each), "bits": np.repeat(bits[chosen], each)})
+                yield pd.DataFrame({"sig": sig.reshape(-1).view(np.int64), "set_id": np.repeat(ids[chosen], each), "bits": np.repeat(bits[chosen], each), "size": np.repeat(count[chosen], each).astype(np.int32)})
 
-    return sets.select("set_id", "elements").mapInPandas(emit, "sig bigint, set_id bigint, bits bigint")
+    return sets.select("set_id", "elements").mapInPandas(emit, "sig bigint, set_id bigint, bits bigint, size int")
 
 
 def _bucket_of(element: Column) -> Column:
@@ -152,11 +152,13 @@ def with_rarest(sets: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInPandas(emit, "set_id bigint, rarest array<bigint>")
 
 
-def _pairs(bucketed: DataFrame, on: list[str], most_differing: int) -> DataFrame:
+def _pairs(bucketed: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of sets with a common ``sig`` that their sizes and sketches do not refute."""
     a, b = bucketed.alias("a"), bucketed.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on]
-    near = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= most_differing
-    return a.join(b, [*same, F.col("a.set_id") < F.col("b.set_id"), near]).select(F.col("a.set_id").alias("set_a"), F.col("b.set_id").alias("set_b"))
+    size_a, size_b = F.col("a.size"), F.col("b.size")
+    near = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= (size_a + size_b) * ((1 - threshold) / (1 + threshold)) + 1e-9
+    alike = F.least(size_a, size_b) >= F.greatest(size_a, size_b) * threshold - 1e-9
+    return a.join(b, [F.col("a.sig") == F.col("b.sig"), F.col("a.set_id") < F.col("b.set_id"), near, alike]).select(F.col("a.set_id").alias("set_a"), F.col("b.set_id").alias("set_b"))
 
 
 def similar_sets(sets: DataFrame, threshold: float, bucket: int = BUCKET) -> DataFrame:
@@ -165,14 +167,13 @@ def similar_sets(sets: DataFrame, threshold: float, bucket: int = BUCKET) -> Dat
     ``sets``: a table of (set_id, elements) with distinct sets, read several times.
     """
     sizes = [row[0] for row in sets.select(F.size("elements").alias("n")).distinct().collect()]  # distinct sizes only
-    most = math.floor((1 - threshold) / (1 + threshold) * 2 * max(sizes, default=0) + 1e-9)
     signed = signatures(sets, threshold, sizes)
     shared = signed.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
     borne = materialize(signed.join(shared, "sig"), "signatures")
-    small = _pairs(borne.where(F.col("n") <= bucket), ["sig"], most)
+    small = _pairs(borne.where(F.col("n") <= bucket), threshold)
     rare = with_rarest(sets, threshold)
-    split = borne.where(F.col("n") > bucket).join(rare, "set_id").select(F.explode("rarest").alias("e"), "sig", "set_id", "bits").select(F.xxhash64("sig", "e").alias("sig"), "set_id", "bits")
-    large = _pairs(split, ["sig"], most)
+    split = borne.where(F.col("n") > bucket).join(rare, "set_id").select(F.explode("rarest").alias("e"), "sig", "set_id", "bits", "size").select(F.xxhash64("sig", "e").alias("sig"), "set_id", "bits", "size")
+    large = _pairs(split, threshold)
     candidates = small.unionByName(large).distinct()
     left = sets.select(F.col("set_id").alias("set_a"), F.col("elements").alias("_ea"))
     right = sets.select(F.col("set_id").alias("set_b"), F.col("elements").alias("_eb"))
