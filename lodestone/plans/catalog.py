@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import references
+from lodestone.plans import references, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (references,)
+MODULES = (references, search)
 
 
 def queries() -> dict[str, Query]:
