@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import references, search
+from lodestone.plans import links, references, retrieval, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (references, search)
+MODULES = (references, search, retrieval, links)
 
 
 def queries() -> dict[str, Query]:
