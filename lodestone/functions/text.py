@@ -10,7 +10,7 @@ from lodestone.vocab import STOPWORDS
 # The forms of tokens, gap ids and symbols that results depend on.
 TOKEN = r"[a-z0-9][a-z0-9_\-]*"
 RUN = r"[a-z0-9_\-]+"
-GAP_ID = r"\b[A-Z]{2,5}(?:-[A-Z0-9]+){1,5}-[0-9]{2,}\b"
+GAP_ID = r"(?U)\b[A-Z]{2,5}(?:-[A-Z0-9]+){1,5}-[0-9]{2,}\b"
 GAP_PREFIX = r"^([A-Z]{2,5}-[A-Z0-9]+)"
 PASCAL = r"^[A-Z][a-zA-Z0-9]+$"
 QUOTED_SYMBOL = r"`([A-Z][A-Za-z0-9]{2,})`"
@@ -20,6 +20,11 @@ UNLINKED_SYMBOLS = "GET POST PUT DELETE PATCH HEAD JSON URL HTTP HTTPS API JWT S
 UNLINKED_SUFFIXES = ("Payload", "Dto", "DTO")
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def strings(values: Column) -> Column:
     """An array without null elements; null becomes empty."""
     return F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda x: x.isNotNull())
@@ -103,10 +108,9 @@ def path_suffixes(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
 
 
-def curated_keywords(*sources: Column, most: int = 30) -> Column:
-    """Parts of the sources in order, lower-cased, two characters or more, first occurrences."""
-    joined = F.concat_ws(" ", *sources)
-    parts = F.transform(F.split(joined, r"[^a-zA-Z0-9]+"), F.lower)
+def curated_keywords(whole: list[Column], split: list[Column], most: int = 30) -> Column:
+    """Whole values, then the alphanumeric parts of others: lower-cased, two characters or more, first occurrences."""
+    parts = F.concat(F.array(*(F.lower(F.trim(F.coalesce(w, F.lit("")))) for w in whole)), *(F.transform(F.split(F.coalesce(s, F.lit("")), r"[^a-zA-Z0-9]+"), F.lower) for s in split))
     return F.slice(F.array_distinct(F.filter(parts, lambda p: F.length(p) >= 2)), 1, most)
 
 
