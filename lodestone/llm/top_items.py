@@ -22,7 +22,7 @@ BOUND = "_bound"
 
 def _best(rows: pd.DataFrame, group: list[str], order: list[str], key: str, n: int) -> pd.DataFrame:
     """Per group the first ``n`` rows by ``order`` (score descending, the others ascending)."""
-    rows = rows.drop_duplicates([*group, *order]).sort_values(order, ascending=[False, *[True] * (len(order) - 1)], kind="stable")
+    rows = rows.drop_duplicates([*group, *order]).sort_values(order, ascending=[False, *[True] * (len(order) - 1)], kind="stable", na_position="first")
     return rows[rows.groupby(group, sort=False, dropna=False).cumcount() < n]
 
 
