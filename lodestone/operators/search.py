@@ -53,34 +53,50 @@ def parsed_queries(queries: DataFrame, query: str = "query") -> DataFrame:
     ).where("size(tokens) > 0 or gap_exact <> ''")
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written with a number ``n`` per row: joins on it are narrower than on long ids."""
+    return materialize(df.withColumn("n", F.monotonically_increasing_id()), name)
+
+
 def places(docs: DataFrame) -> DataFrame:
-    """(run, id, place, whole): where each run of token characters stands in each record.
+    """(run, n, place, whole, base): where each run of token characters stands in each record.
 
     ``whole`` tells that the run is all of a keyword, symbol or part of a repository's name.
     """
     field = lambda name, values: F.transform(values, lambda v: F.struct(F.lit(name).alias("place"), F.lower(v).alias("v")))
     single = lambda name, c: field(name, F.array(F.coalesce(F.col(c), F.lit(""))))
+    parts = F.array_union(F.array(F.coalesce(F.lower("repo"), F.lit(""))), F.split(F.coalesce(F.lower("repo"), F.lit("")), "[^a-z0-9]+"))
+    repo_names = F.when(F.lower("kind").isin(*CONTEXT_KINDS), parts).otherwise(F.array().cast("array<string>"))
     all_fields = F.concat(
         single("title", "title"), field("keyword", X.strings(F.col("keywords"))), field("heading", X.strings(F.col("headings"))),
-        single("path", "path"), single("symbol", "symbol"), single("external_id", "external_id"), field("gap", X.strings(F.col("known_gap_ids"))),
+        single("path", "path"), single("symbol", "symbol"), single("external_id", "external_id"), field("gap", X.strings(F.col("known_gap_ids"))), field("repo", repo_names),
     )
-    each = docs.select("id", F.explode(all_fields).alias("f")).select("id", "f.place", "f.v", F.explode(X.runs(F.col("f.v"))).alias("run"))
-    return each.groupBy("run", "id", "place").agg(F.max(F.col("v") == F.col("run")).alias("whole"))
+    each = docs.select("n", base_points().alias("base"), F.explode(all_fields).alias("f")).select("n", "base", "f.place", "f.v", F.explode(X.runs(F.col("f.v"))).alias("run"))
+    return each.groupBy("run", "n", "place").agg(F.max(F.col("v") == F.col("run")).alias("whole"), F.max("base").alias("base"))
+
+
+def base_points() -> Column:
+    """What a record's weight and trust add to any match."""
+    return (F.floor(F.coalesce("weight", F.lit(0)) / 10) + F.floor(lookup(TRUST_RANK, F.coalesce("trust_level", F.lit("confirmed")), 0) / 10)).cast("int")
 
 
 def token_matches(docs: DataFrame, needles: DataFrame) -> DataFrame:
-    """(token, id, points, in_title, in_blob) of the distinct tokens and the records they occur in."""
+    """(token, n, points, in_title, in_blob, names_repo, base) of the distinct tokens and the records they occur in.
+
+    ``base`` is what a record scores by itself, ``names_repo`` tells that the token is the name of
+    its repository, or a part of it, and the record of a kind that profits from this.
+    """
     where = materialize(places(docs), "places")
     hits = containing(needles, "token", where, "run").join(where, "run")
     at = lambda name: F.max(F.when(F.col("place") == name, True).otherwise(False))
     exact = lambda name: F.max(F.when((F.col("place") == name) & F.col("whole") & (F.col("run") == F.col("token")), True).otherwise(False))
-    found = hits.groupBy("token", "id").agg(
+    found = hits.groupBy("token", "n").agg(
         at("title").alias("in_title"), at("keyword").alias("in_keyword"), exact("keyword").alias("is_keyword"), at("heading").alias("in_heading"), at("path").alias("in_path"),
-        exact("symbol").alias("is_symbol"), at("gap").alias("in_gap"), F.max(F.col("place") != "gap").alias("in_blob"),
+        exact("symbol").alias("is_symbol"), at("gap").alias("in_gap"), F.max(~F.col("place").isin("gap", "repo")).alias("in_blob"), exact("repo").alias("names_repo"), F.max("base").alias("base"),
     )
     best = F.when(F.col("in_title") | F.col("is_keyword"), 3).when(F.col("in_keyword"), 2).when(F.col("in_heading") | F.col("in_path"), 1).otherwise(0)
     points = best + F.when(F.col("is_symbol"), 5).otherwise(0) + F.when(F.col("in_gap"), 5).otherwise(0)
-    return found.select("token", "id", points.alias("points"), "in_title", "in_blob")
+    return found.select("token", "n", points.alias("points"), "in_title", "in_blob", "names_repo", "base").where("points > 0 or in_blob or names_repo")
 
 
 def inverse_frequency(total: Column, frequency: Column) -> Column:
@@ -88,61 +104,61 @@ def inverse_frequency(total: Column, frequency: Column) -> Column:
 
 
 def query_tokens(parsed: DataFrame) -> DataFrame:
-    """(query, token, times)."""
-    return parsed.select("query", F.explode("tokens").alias("token")).groupBy("query", "token").agg(F.count("*").alias("times"))
+    """(q, token, times) of numbered queries."""
+    return parsed.select(F.col("n").alias("q"), F.explode("tokens").alias("token")).groupBy("q", "token").agg(F.count("*").alias("times"))
 
 
 def token_weights(docs: DataFrame, parsed: DataFrame, matches: DataFrame) -> DataFrame:
-    """(query, token, times, df, n, weight): a token that a query repeats counts its frequency as often."""
+    """(q, token, times, df, total, weight): a token that a query repeats counts its frequency as often."""
     counted = matches.where("in_blob").groupBy("token").agg(F.count("*").alias("df_one"))
-    total = docs.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
+    total = docs.agg(F.greatest(F.count("*"), F.lit(1)).alias("total"))
     each = query_tokens(parsed).join(counted, "token", "left").crossJoin(total)  # one row of totals
     df = F.col("times") * F.coalesce(F.col("df_one"), F.lit(0))
-    return each.select("query", "token", "times", df.alias("df"), "n", inverse_frequency(F.col("n"), df).alias("weight"))
+    return each.select("q", "token", "times", df.alias("df"), "total", inverse_frequency(F.col("total"), df).alias("weight"))
 
 
 def exact_points(docs: DataFrame, parsed: DataFrame) -> DataFrame:
-    """(query, id, exact): points for exact symbols, their implementations and exact gap ids."""
-    symbols = parsed.where("symbol_exact is not null").select("query", F.col("symbol_exact").alias("k"))
-    named = docs.where("symbol <> ''").select("id", F.col("symbol").alias("k"))
-    equal = symbols.join(named, "k").select("query", "id", F.lit(SYMBOL_EXACT).alias("exact"))
-    starts = F.transform(F.sequence(F.lit(1), F.length("symbol") - 1), lambda n: F.left(F.col("symbol"), n))
-    longer = docs.where(F.col("symbol").endswith("Impl") & (F.length("symbol") > 1)).select("id", F.explode(starts).alias("k"))
-    implementing = symbols.join(longer, "k").select("query", "id", F.lit(SYMBOL_IMPLEMENTATION).alias("exact"))
-    gaps = parsed.where("gap_exact is not null").select("query", F.col("gap_exact").alias("k"))
-    holding = docs.select("id", "kind", F.explode(F.array_distinct(X.strings(F.col("known_gap_ids")))).alias("k"))
+    """(q, n, exact, base): points for exact symbols, their implementations and exact gap ids."""
+    about = docs.select("n", "kind", "symbol", "known_gap_ids", base_points().alias("base"))
+    symbols = parsed.where("symbol_exact is not null").select(F.col("n").alias("q"), F.col("symbol_exact").alias("k"))
+    equal = symbols.join(about.where("symbol <> ''").select("n", "base", F.col("symbol").alias("k")), "k").select("q", "n", F.lit(SYMBOL_EXACT).alias("exact"), "base")
+    starts = F.transform(F.sequence(F.lit(1), F.length("symbol") - 1), lambda size: F.left(F.col("symbol"), size))
+    longer = about.where(F.col("symbol").endswith("Impl") & (F.length("symbol") > 1)).select("n", "base", F.explode(starts).alias("k"))
+    implementing = symbols.join(longer, "k").select("q", "n", F.lit(SYMBOL_IMPLEMENTATION).alias("exact"), "base")
+    gaps = parsed.where("gap_exact is not null").select(F.col("n").alias("q"), F.col("gap_exact").alias("k"))
+    holding = about.select("n", "kind", "base", F.explode(F.array_distinct(X.strings(F.col("known_gap_ids")))).alias("k"))
     extra = F.when(F.col("kind").isin(*CONTRACT_KINDS), GAP_EXACT + GAP_IN_CONTRACT).otherwise(GAP_EXACT)
-    listed = gaps.join(holding, "k").select("query", "id", extra.alias("exact"))
-    return equal.unionByName(implementing).unionByName(listed).groupBy("query", "id").agg(F.sum("exact").alias("exact"))
+    listed = gaps.join(holding, "k").select("q", "n", extra.alias("exact"), "base")
+    return equal.unionByName(implementing).unionByName(listed)
 
 
-def scored(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, id, repo, path, kind, score) of all records that a query matches."""
-    parsed = parsed_queries(queries)
+def scored(docs: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(q, n, score) of all records that a query matches; both sides numbered.
+
+    All contributions of a query and a record meet in one aggregation over two numbers.
+    """
     needles = parsed.select(F.explode("tokens").alias("token")).distinct()
     matches = materialize(token_matches(docs, needles), "token-matches")
-    weights = token_weights(docs, parsed, matches)
-    part = F.when(F.col("points") > 0, F.greatest(F.lit(1), F.bround(F.col("points") * F.col("weight")).cast("int")))
-    content = weights.join(matches, "token").groupBy("query", "id").agg(
-        F.sum(part * F.col("times")).alias("content"), F.sum(F.when(F.col("in_title"), F.col("times")).otherwise(0)).alias("titled")
-    )
-    exact = exact_points(docs, parsed)
-    both = content.join(exact, ["query", "id"], "full")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    total = zero("content") + zero("exact") + F.when(zero("titled") >= 2, 3 * (zero("titled") - 1)).otherwise(0)
-    matched = both.select("query", "id", total.alias("content")).where("content > 0")
-
-    parts = F.array_union(F.array(F.lower("repo")), F.filter(F.split(F.lower("repo"), "[^a-z0-9]+"), lambda p: p != ""))
-    about = docs.select("id", "repo", "path", "kind", (F.floor(F.coalesce("weight", F.lit(0)) / 10) + F.floor(lookup(TRUST_RANK, F.coalesce("trust_level", F.lit("confirmed")), 0) / 10)).alias("base"), F.when(F.lower("kind").isin(*CONTEXT_KINDS), parts).alias("parts"))
-    named = F.when(F.arrays_overlap("parts", "tokens"), 3).otherwise(0)
-    rows = matched.join(about, "id").join(parsed.select("query", "tokens"), "query")
-    return rows.select("query", "id", "repo", "path", "kind", (F.col("content") + F.col("base") + named).cast("bigint").alias("score"))
-
-
-def best_hits(hits: DataFrame, limit: int = 10) -> DataFrame:
-    """The first ``limit`` hits of each query with their rank; ties by path, then id."""
+    weights = token_weights(docs, parsed, matches).select("q", "token", F.col("times").cast("int").alias("times"), "weight")
+    part = F.when(F.col("points") > 0, F.greatest(F.lit(1), F.bround(F.col("points") * F.col("weight")).cast("int"))).otherwise(0)
+    by_token = weights.join(matches, "token").select("q", "n", (part * F.col("times")).alias("part"), F.when(F.col("in_title"), F.col("times")).otherwise(0).alias("titled"), "names_repo", "base")
+    by_name = exact_points(docs, parsed).select("q", "n", F.col("exact").alias("part"), F.lit(0).alias("titled"), F.lit(False).alias("names_repo"), "base")
+    both = by_token.unionByName(by_name).groupBy("q", "n").agg(F.sum("part").alias("content"), F.sum("titled").alias("titled"), F.max("names_repo").alias("named"), F.max("base").alias("base"))
+    content = F.col("content") + F.when(F.col("titled") >= 2, 3 * (F.col("titled") - 1)).otherwise(0)
+    return both.where(content > 0).select("q", "n", (content + F.col("base") + F.when(F.col("named"), 3).otherwise(0)).cast("bigint").alias("score"))
+
+
+def search(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """(query, hit_rank, id, repo, path, kind, score): the best records of every distinct query.
+
+    Order is score, path, id; null paths count as empty.  Records that tie with the last place are
+    kept until their paths decide, so only few rows per query meet the records' columns.
+    """
+    docs, parsed = numbered(docs, "records"), numbered(parsed_queries(queries), "queries")
+    near = scored(docs, parsed).withColumn("_r", F.rank().over(Window.partitionBy("q").orderBy(F.col("score").desc()))).where(F.col("_r") <= limit)
+    named = near.join(docs.select("n", "id", "repo", "path", "kind"), "n").join(parsed.select(F.col("n").alias("q"), "query"), "q")
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), F.coalesce(F.col("path"), F.lit("")), "id")
-    return hits.withColumn("hit_rank", F.row_number().over(order)).where(F.col("hit_rank") <= limit)
+    return named.withColumn("hit_rank", F.row_number().over(order)).where(F.col("hit_rank") <= limit).select("query", "hit_rank", "id", "repo", "path", "kind", "score")
 
 
 def seeds(hits: DataFrame) -> DataFrame:

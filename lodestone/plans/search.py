@@ -21,7 +21,7 @@ def docs_of(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, folder: str, kinds: list[str] | None = None, limit: int = 10) -> DataFrame:
-    return S.best_hits(S.scored(S.restricted(docs_of(spark, folder), kinds=kinds), asked(spark, folder)), limit)
+    return S.search(S.restricted(docs_of(spark, folder), kinds=kinds), asked(spark, folder), limit)
 
 
 def search_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,9 +43,10 @@ def search_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_weights(spark: SparkSession, folder: str) -> DataFrame:
-    docs, parsed = docs_of(spark, folder), S.parsed_queries(asked(spark, folder))
+    docs, parsed = S.numbered(docs_of(spark, folder), "records"), S.numbered(S.parsed_queries(asked(spark, folder)), "queries")
     matches = materialize(S.token_matches(docs, parsed.select(F.explode("tokens").alias("token")).distinct()), "token-matches")
-    return S.token_weights(docs, parsed, matches).select("query", "token", F.col("times").cast("bigint").alias("times"), F.col("df").cast("bigint").alias("df"), F.round("weight", 6).alias("weight"))
+    rows = S.token_weights(docs, parsed, matches).join(parsed.select(F.col("n").alias("q"), "query"), "q")
+    return rows.select("query", "token", F.col("times").cast("bigint").alias("times"), F.col("df").cast("bigint").alias("df"), F.round("weight", 6).alias("weight"))
 
 
 QUERIES = {"search_topk": search_topk, "search_contracts": search_contracts, "search_seeds": search_seeds, "search_tokens": search_tokens, "token_weights": token_weights}
