@@ -5,8 +5,7 @@ running sum over the merged stream gives, at each reference, how many parents ar
 many began before.  A reference without a living parent is an orphan: ``missing`` if no parent
 ever exists, ``deleted`` if all that began have ended, ``late`` if the first one begins later.
 
-Nothing is joined many to many.  Both streams are first reduced to one row per (space, key,
-time), with partial aggregation before the shuffle, so a key that a third of all records name
+Nothing is joined many to many.  Both streams are first reduced to one row per (key, time), with partial aggregation before the shuffle, so a key that a third of all records name
 costs one row per distinct time.  The merge is cut by day: the sums of earlier days enter a day
 as an offset, so even one key with very many times is spread over tasks.
 """
@@ -19,7 +18,8 @@ from pyspark.sql import functions as F
 #: array column of manifest_docs -> space of the keys it names
 MANIFEST_FIELDS = {"code_anchors": "id", "related_doc_ids": "id", "related_contracts": "external_id"}
 
-PARTS = ["space", "key"]
+#: a key of a space as two hashes, 128 bits in all, so that shuffles carry no long names
+PARTS = ["k1", "k2"]
 
 
 def spelled(name: Column) -> Column:
@@ -28,8 +28,13 @@ def spelled(name: Column) -> Column:
     return F.lower(F.translate(stripped, "\\", "/"))
 
 
+def hashed(df: DataFrame) -> DataFrame:
+    """``df`` with its columns space and key made ``PARTS``."""
+    return df.withColumn("k1", F.xxhash64("space", "key")).withColumn("k2", F.xxhash64(F.lit(2), "key", "space")).drop("space", "key")
+
+
 def manifest_references(manifest: DataFrame) -> DataFrame:
-    """(ref_table, ref_field, ref_key, target_key, space, key, at) of the array columns.
+    """(ref_table, ref_field, ref_key, target_key, k1, k2, at) of the array columns.
 
     Null arrays, null elements and blank elements are no references; a record without
     ``indexed_at`` has no time to judge its references at and gives none.
@@ -37,7 +42,7 @@ def manifest_references(manifest: DataFrame) -> DataFrame:
     fields = F.array(*(F.struct(F.lit(c).alias("ref_field"), F.lit(s).alias("space"), F.col(c).alias("targets")) for c, s in MANIFEST_FIELDS.items()))
     each = manifest.where("indexed_at is not null").select(F.col("id").alias("ref_key"), F.col("indexed_at").alias("at"), F.explode(fields).alias("f"))
     rows = each.select(F.lit("manifest_docs").alias("ref_table"), "f.ref_field", "ref_key", F.explode("f.targets").alias("target_key"), "f.space", "at")
-    return rows.withColumn("key", spelled(F.col("target_key"))).where("key <> ''")
+    return hashed(rows.withColumn("key", spelled(F.col("target_key"))).where("key <> ''"))
 
 
 def stats_references(stats: DataFrame) -> DataFrame:
@@ -47,11 +52,11 @@ def stats_references(stats: DataFrame) -> DataFrame:
         F.explode("unresolved_symbols").alias("target_key"), F.lit("symbol").alias("space"), F.col("built_at").alias("at"),
     )
     name = F.regexp_replace("target_key", r"(?s)^[^:]*:", "")
-    return rows.where(spelled(F.col("target_key")) != "").withColumn("key", spelled(name))
+    return hashed(rows.where(spelled(F.col("target_key")) != "").withColumn("key", spelled(name)))
 
 
 def parents(manifest: DataFrame) -> DataFrame:
-    """(space, key, begins, ends): validity intervals of all names that records bear.
+    """(k1, k2, begins, ends): validity intervals of all names that records bear.
 
     A symbol that ends with ``Impl`` is also named without it.
     """
@@ -63,11 +68,11 @@ def parents(manifest: DataFrame) -> DataFrame:
         F.struct(F.lit("symbol").alias("space"), F.when(symbol.endswith("impl"), F.expr("left(symbol_key, length(symbol_key) - 4)")).alias("key")),
     )
     named = manifest.where("indexed_at is not null").withColumn("symbol_key", symbol).select(F.col("indexed_at").alias("begins"), F.col("removed_at").alias("ends"), F.explode(names).alias("n"))
-    return named.select("n.space", "n.key", "begins", "ends").where("key is not null")
+    return hashed(named.select("n.space", "n.key", "begins", "ends").where("key is not null"))
 
 
 def merged(references: DataFrame, named: DataFrame) -> DataFrame:
-    """(space, key, at, reason) of the referenced keys and times without a living parent."""
+    """(k1, k2, at, reason) of the referenced keys and times without a living parent."""
     valid = F.col("ends").isNull() | (F.col("ends") > F.col("begins"))
     steps = F.array(
         F.struct(F.col("begins").alias("at"), valid.cast("int").alias("alive"), F.lit(1).alias("begun")),
@@ -104,9 +109,9 @@ def orphan_references(manifest: DataFrame, stats: DataFrame) -> DataFrame:
     Re-delivered records and repeated elements count once; empty tables give no rows; columns
     other than those named are ignored.
     """
-    references = manifest_references(manifest).unionByName(stats_references(stats)).distinct()
-    found = merged(references, parents(manifest)).withColumnsRenamed({"space": "m_space", "key": "m_key", "at": "m_at"})
-    orphans = references.join(found, [references[c] == found[f"m_{c}"] for c in ("space", "key", "at")])
+    references = manifest_references(manifest).unionByName(stats_references(stats))
+    found = merged(references, parents(manifest)).withColumnsRenamed({c: f"m_{c}" for c in (*PARTS, "at")})
+    orphans = references.join(found, [references[c] == found[f"m_{c}"] for c in (*PARTS, "at")])
     return orphans.select("ref_table", F.date_format("at", "yyyy-MM").alias("period"), "ref_field", "ref_key", "target_key", "reason").distinct()
 
 
