@@ -136,8 +136,8 @@ def with_rarest(sets: DataFrame, threshold: float) -> DataFrame:
     """
     counts = sets.select(F.explode("elements").alias("e")).groupBy(_bucket_of(F.col("e")).alias("b")).count()
     table = np.zeros(COUNTERS, np.int32)
-    for b, n in counts.collect():  # at most COUNTERS rows
-        table[b] = min(n, 2**31 - 1)
+    fetched = counts.select("b", F.least("count", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()  # at most COUNTERS pairs of ints
+    table[fetched["b"].to_numpy()] = fetched["n"].to_numpy()
     shared = sets.sparkSession.sparkContext.broadcast(table)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
