@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import links, records, references, retrieval, search
+from lodestone.plans import links, records, references, retrieval, search, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (references, search, retrieval, links, records)
+MODULES = (references, search, retrieval, links, records, streams)
 
 
 def queries() -> dict[str, Query]:
