@@ -105,3 +105,44 @@ def path_history(decisions: DataFrame, keep: int = HISTORY) -> DataFrame:
     ends = last.groupBy("repo", "path").agg(F.max_by("decision_id", "_r").alias("introduced_in"), F.min_by("decision_id", "_r").alias("modified_by"), F.count("*").alias("n"))
     links = F.array(F.struct(F.lit("introduced_in").alias("link_type"), F.col("introduced_in").alias("decision_id")), F.struct(F.when(F.col("n") > 1, "modified_by").alias("link_type"), F.col("modified_by").alias("decision_id")))
     return ends.select("repo", "path", F.explode(links).alias("l")).select("repo", "path", "l.link_type", "l.decision_id").where("link_type is not null")
+
+
+# How classes, imports, routes and injected fields are written.
+_CLASS = r"(?:public\s+)?(?:abstract\s+)?class\s+(\w+)"
+_IMPORT = r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)(?:\.\*)?;"
+_BASE_ROUTE = r'@RequestMapping\s*\(\s*(?:value\s*=\s*)?"([^"]+)"'
+_ROUTE = r'@(?:Get|Post|Put|Patch|Delete)Mapping\s*\(\s*(?:value\s*=\s*)?"([^"]+)"'
+_FIELD = r"(?:private\s+final|@Autowired\s+private)\s+(\w+{0}\w*)\s+\w+;"
+
+
+def structural_edges(files: DataFrame) -> DataFrame:
+    """(repo, path, source, target, edge_type): what the first class of each Java file imports, serves and uses; distinct.
+
+    Types: imports (by simple name, not itself), implements_route (of a class marked as REST
+    controller), uses_service and uses_repository (by injected fields).
+    """
+    rows = files.where(F.col("path").endswith(".java") & F.col("text").isNotNull()).select("repo", "path", "text").distinct().withColumn("source", F.regexp_extract("text", _CLASS, 1)).where("source <> ''")
+    found = lambda pattern: F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
+    typed = lambda name, values: F.transform(values, lambda v: F.struct(F.lit(name).alias("edge_type"), v.alias("target")))
+    base = F.regexp_replace(F.regexp_extract("text", _BASE_ROUTE, 1), "/+$", "")
+    whole = F.regexp_extract("text", _BASE_ROUTE, 1)
+    routes = F.when(F.size(found(_ROUTE)) > 0, found(_ROUTE)).when(whole != "", F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    full = F.transform(routes, lambda r: F.when(r == whole, r).otherwise(F.replace(F.concat(base, F.when(r.startswith("/"), r).otherwise(F.concat(F.lit("/"), r))), F.lit("//"), F.lit("/"))))
+    served = F.when(F.contains(F.col("text"), F.lit("@RestController")), full).otherwise(F.array().cast("array<string>"))
+    edges_ = F.concat(
+        typed("imports", F.filter(F.transform(found(_IMPORT), lambda m: F.element_at(F.split(m, r"\."), -1)), lambda m: m != F.col("source"))), typed("implements_route", served),
+        typed("uses_service", found(_FIELD.format("Service"))), typed("uses_repository", found(_FIELD.format("Repository"))),
+    )
+    return rows.select("repo", "path", "source", F.explode(F.array_distinct(edges_)).alias("e")).select("repo", "path", "source", "e.target", "e.edge_type").distinct()
+
+
+def orientation(structure: DataFrame, per_type: int = 40) -> DataFrame:
+    """(repo, edge_type, place, source, target): the first edges of each type of a repository by source, target and path."""
+    order = Window.partitionBy("repo", "edge_type").orderBy("source", "target", "path")
+    return structure.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_type).select("repo", "edge_type", "place", "source", "target")
+
+
+def services_of_controllers(structure: DataFrame) -> DataFrame:
+    """(repo, source, services): services that each class uses, sorted and joined by commas."""
+    uses = structure.where("edge_type = 'uses_service'").select("repo", "source", "target").distinct()
+    return uses.groupBy("repo", "source").agg(F.array_join(F.array_sort(F.collect_list("target")), ",").alias("services"))  # fields of one class

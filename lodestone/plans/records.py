@@ -58,6 +58,18 @@ def graph_degrees(spark: SparkSession, folder: str) -> DataFrame:
     return G.degrees(materialize(G.edges(_manifest(spark, folder)), "edges"))
 
 
+def structural_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return G.structural_edges(table(spark, folder, "source_files"))
+
+
+def orientation(spark: SparkSession, folder: str) -> DataFrame:
+    return G.orientation(G.structural_edges(table(spark, folder, "source_files")))
+
+
+def class_services(spark: SparkSession, folder: str) -> DataFrame:
+    return G.services_of_controllers(G.structural_edges(table(spark, folder, "source_files")))
+
+
 def path_history(spark: SparkSession, folder: str) -> DataFrame:
     return G.path_history(table(spark, folder, "path_decisions"))
 
@@ -101,7 +113,7 @@ def policy_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "outlines": outlines, "doc_sections": doc_sections, "packed_chunks": packed_chunks, "inline_links": inline_links, "code_symbols": code_symbols, "code_imports": code_imports,
-    "graph_nodes": graph_nodes, "graph_edges": graph_edges, "graph_degrees": graph_degrees, "path_history": path_history, "lint_violations": lint_violations,
+    "graph_nodes": graph_nodes, "graph_edges": graph_edges, "graph_degrees": graph_degrees, "structural_edges": structural_edges, "orientation": orientation, "class_services": class_services, "path_history": path_history, "lint_violations": lint_violations,
     "build_changes": build_changes, "kind_counts": kind_counts, "index_status": index_status, "owners": owners, "services": services, "trust_differences": trust_differences,
     "policy_decisions": policy_decisions, "policy_counts": policy_counts,
 }
@@ -144,6 +156,19 @@ edges as (
   union select a.node, b.node, 'relates_to' from (select node, unnest(related_contracts) as r from docs) a join docs b on b.external_id = a.r and b.external_id <> ''
   union select c.node, t.node, 'tested_by' from tests join docs c on c.id = anchor_id join docs t on t.id = test_id)
 """
+_STRUCTURE = r"""
+f as (select distinct repo, path, text, regexp_extract(text, '(?:public\s+)?(?:abstract\s+)?class\s+(\w+)', 1) as source from source_files where path like '%.java' and text is not null),
+edges as (
+  select distinct repo, path, source, target, edge_type from (
+    select repo, path, source, list_extract(string_split(unnest(regexp_extract_all(text, '(?m)^\s*import\s+(?:static\s+)?([\w.]+)(?:\.\*)?;', 1)), '.'), -1) as target, 'imports' as edge_type from f
+    union all select repo, path, source, unnest(regexp_extract_all(text, '(?:private\s+final|@Autowired\s+private)\s+(\w+Service\w*)\s+\w+;', 1)), 'uses_service' from f
+    union all select repo, path, source, unnest(regexp_extract_all(text, '(?:private\s+final|@Autowired\s+private)\s+(\w+Repository\w*)\s+\w+;', 1)), 'uses_repository' from f
+    union all select repo, path, source, case when r = b then r else replace(regexp_replace(b, '/+$', '') || case when starts_with(r, '/') then r else '/' || r end, '//', '/') end, 'implements_route' from (
+      select repo, path, source, regexp_extract(text, '@RequestMapping\s*\(\s*(?:value\s*=\s*)?"([^"]+)"', 1) as b,
+             unnest(case when regexp_matches(text, '@(?:Get|Post|Put|Patch|Delete)Mapping\s*\(\s*(?:value\s*=\s*)?"[^"]+"') then regexp_extract_all(text, '@(?:Get|Post|Put|Patch|Delete)Mapping\s*\(\s*(?:value\s*=\s*)?"([^"]+)"', 1)
+                         when regexp_matches(text, '@RequestMapping\s*\(\s*(?:value\s*=\s*)?"[^"]+"') then [''] else [] end) as r from f where contains(text, '@RestController')))
+  where source <> '' and not (edge_type = 'imports' and target = source))
+"""
 _POLICY = r"""
 p as (select distinct repo, regexp_replace(replace(path, '\', '/'), '^[./]+', '') as path from path_decisions),
 i as (select *, case when regexp_matches(path, '(?s)^src/.*$') then 'src/**' when regexp_matches(path, '(?s)^internal/.*$') then 'internal/**' when regexp_matches(path, '(?s)^docs/.*$') then 'docs/**' when regexp_matches(path, '(?s)^web/.*$') then 'web/**' end as inc,
@@ -195,6 +220,11 @@ select id, type, label from a qualify row_number() over (partition by id order b
     "graph_degrees": "with " + _EDGES + """
 select id, type, cast(sum(o) as bigint) as outgoing, cast(sum(i) as bigint) as incoming
 from (select from_id as id, type, 1 as o, 0 as i from edges union all select to_id, type, 0, 1 from edges) group by id, type""",
+    "structural_edges": "with " + _STRUCTURE + "select repo, path, source, target, edge_type from edges",
+    "orientation": "with " + _STRUCTURE + """
+select repo, edge_type, place, source, target from (select *, row_number() over (partition by repo, edge_type order by source, target, path) as place from edges) where place <= 40""",
+    "class_services": "with " + _STRUCTURE + """
+select repo, source, string_agg(target, ',' order by target) as services from (select distinct repo, source, target from edges where edge_type = 'uses_service') group by repo, source""",
     "path_history": """
 with r as (select *, row_number() over (partition by repo, path order by decided_at desc, decision_id desc) as r
            from (select distinct repo, path, decision_id, decided_at from path_decisions where path is not null and decided_at is not null)),

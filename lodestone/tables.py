@@ -1,4 +1,8 @@
-"""Loading of the given tables and the rule for re-delivered rows."""
+"""Loading of the given tables.
+
+A re-delivered record equals the first one except for ``received_at``: operators select the columns
+they need without it and take them distinct, so each record counts once and nulls count as equal.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +11,3 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def once(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of ``columns`` without re-deliveries.
-
-    A re-delivered record equals the first one except for ``received_at``, so a distinct over
-    columns without it keeps each record once; nulls count as equal.
-    """
-    return df.select(*columns).distinct()

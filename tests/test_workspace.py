@@ -85,3 +85,24 @@ def test_chunks_sinks_and_changes(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "graph/edges")).count() == edges.count()
     sinks.write_records(manifest, str(tmp_path / "records"))
     assert spark.read.parquet(str(tmp_path / "records")).count() == manifest.count()
+
+
+def test_structural_edges(spark):
+    text = '''import a.b.Order;
+import static a.OrderController;
+@RestController
+@RequestMapping("/api/")
+public class OrderController {
+  private final OrderService service;
+  @Autowired private OrderRepository rows;
+  @GetMapping("/{id}") void a() {}
+  @PostMapping(value = "new") void b() {}
+}
+'''
+    rows = [("r", "A.java", text), ("r", "A.java", text), ("r", "B.java", "class B { }"), ("r", "C.java", None), ("r", "D.py", text), ("r", "E.java", '@RestController @RequestMapping("/x") class E {}')]
+    got = G.structural_edges(spark.createDataFrame(rows, "repo string, path string, text string"))
+    assert {(r.source, r.edge_type, r.target) for r in got.collect()} == {
+        ("OrderController", "imports", "Order"), ("OrderController", "implements_route", "/api/{id}"), ("OrderController", "implements_route", "/api/new"),
+        ("OrderController", "uses_service", "OrderService"), ("OrderController", "uses_repository", "OrderRepository"), ("E", "implements_route", "/x/"),
+    }
+    assert [r.services for r in G.services_of_controllers(got).collect()] == ["OrderService"]
