@@ -228,3 +228,23 @@ def groups(pairs: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("member"), F.col("v").alias("group_id")).unionByName(edges.select(F.col("v").alias("member"), F.col("v").alias("group_id"))).distinct()
+
+
+def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "snippet", threshold: float = 0.6) -> DataFrame:
+    """(key, group_id, links) of every record with at least one similar other one.
+
+    ``group_id`` is the least key of the records connected by similarity, ``links`` the number of
+    similar records.  Records with equal sets are one node, so a group of copies costs its size,
+    not its pairs.
+    """
+    members, sets = prepared(df, key, text)
+    sizes = members.groupBy("set_id").agg(F.count("*").alias("size"))
+    pairs = materialize(similar_sets(sets, threshold).select("set_a", "set_b"), "set-pairs")
+    both = pairs.unionByName(pairs.select(F.col("set_b").alias("set_a"), F.col("set_a").alias("set_b")))
+    beside = both.join(sizes.withColumnRenamed("set_id", "set_b"), "set_b").groupBy(F.col("set_a").alias("set_id")).agg(F.sum("size").alias("beside"))
+    linked = sizes.join(beside, "set_id", "left").select("set_id", (F.col("size") - 1 + F.coalesce("beside", F.lit(0))).alias("links")).where("links > 0")
+    connected = groups(pairs, "set_a", "set_b").select(F.col("member").alias("set_id"), F.col("group_id").alias("_g"))
+    placed = linked.join(connected, "set_id", "left").withColumn("_g", F.coalesce("_g", "set_id"))
+    each = members.join(placed, "set_id")
+    least = each.groupBy("_g").agg(F.min(key).alias("group_id"))
+    return each.join(least, "_g").select(key, "group_id", "links")

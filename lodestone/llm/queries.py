@@ -30,8 +30,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = near_duplicates.similar_records(table(spark, folder, "search_hits"), "doc_id", "snippet", 0.6)
-    return near_duplicates.groups(pairs, "doc_id_a", "doc_id_b").select(F.col("member").alias("doc_id"), "group_id")
+    return near_duplicates.similar_groups(table(spark, folder, "search_hits"), "doc_id", "snippet", 0.6)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -48,6 +48,23 @@ def test_equals_brute_force(spark, threshold, bucket, monkeypatch):
     assert got
 
 
+def test_groups_of_records(spark):
+    rows = corpus(9) + [(f"copy{i}", "all these words are the same in every copy") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id string, snippet string")
+    links, parent = {}, {}
+
+    def root(n):
+        while parent.setdefault(n, n) != n:
+            n = parent[n]
+        return n
+
+    for a, b in expected(rows, 0.6):
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    got = {r.doc_id: (r.group_id, r.links) for r in N.similar_groups(df).collect()}
+    assert got == {k: (root(k), n) for k, n in links.items()}
+
+
 def test_bands_cover_all_sums_and_leave_a_common_group():
     scheme = N.bands(0.6, 500)
     assert all(a[1] + 1 == b[0] for a, b in zip(scheme, scheme[1:], strict=False)) and scheme[-1][1] >= 1000
