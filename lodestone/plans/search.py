@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.operators import impact as M
 from lodestone.operators import search as S
 from lodestone.storage import materialize
 from lodestone.tables import table
@@ -49,7 +50,11 @@ def token_weights(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("query", "token", F.col("times").cast("bigint").alias("times"), F.col("df").cast("bigint").alias("df"), F.round("weight", 6).alias("weight"))
 
 
-QUERIES = {"search_topk": search_topk, "search_contracts": search_contracts, "search_seeds": search_seeds, "search_tokens": search_tokens, "token_weights": token_weights}
+def impact_records(spark: SparkSession, folder: str) -> DataFrame:
+    return M.impact_records(docs_of(spark, folder), table(spark, folder, "manifest_docs"), asked(spark, folder))
+
+
+QUERIES = {"impact_records": impact_records, "search_topk": search_topk, "search_contracts": search_contracts, "search_seeds": search_seeds, "search_tokens": search_tokens, "token_weights": token_weights}
 
 _TOKENS = r"regexp_extract_all(lower(query), '[a-z0-9][a-z0-9_\-]*')"
 _DOCS = "select distinct id, repo, path, kind, title, domain, external_id, status, symbol, anchor_type, headings, keywords, known_gap_ids, weight, trust_level from manifest_docs"
@@ -110,7 +115,33 @@ with d0 as ({_DOCS}), d as (
 """
 
 
+_IMPACT = """,
+ab as (select id, lower(concat_ws(' ', coalesce(title, ''), array_to_string(coalesce(keywords, []), ' '), array_to_string(coalesce(headings, []), ' '), coalesce(path, ''), coalesce(symbol, ''), coalesce(external_id, ''))) as blob from d0),
+sg as (select query, tok, times from qt where length(tok) > 1 and tok not in (%s)),
+af as (select tok, count(*) as c from (select distinct tok from sg) x, ab where contains(ab.blob, x.tok) group by tok),
+aw as (select query, sg.tok, 1 + ln(((select count(*) from d0) + 1) / (times * coalesce(c, 0) + 1)) as weight from sg left join af on af.tok = sg.tok),
+med as (select query, list(weight order by weight)[len(list(weight)) // 2 + 1] as median from aw group by query),
+seeds as (select query, hit_rank, id from (select *, max(score) over (partition by query) as top from ranked where hit_rank <= 5) where score >= greatest(cast(trunc(top * 0.82) as bigint), top - 8)),
+lk as (select distinct id, external_id, related_contracts from manifest_docs),
+br as (select external_id, max(id) as rid from lk where external_id <> '' group by external_id),
+st as (select l.id as parent, l.pos, br.rid from (select id, unnest(related_contracts) as external_id, unnest(range(1, len(related_contracts) + 1)) as pos from lk) l join br on br.external_id = l.external_id),
+ho as (select m.query, ab.id as rid, count(*) filter (contains(ab.blob, aw.tok) and aw.weight >= m.median) as strong, count(*) filter (contains(ab.blob, aw.tok)) as held from med m join aw on aw.query = m.query, ab group by m.query, ab.id),
+pr as (select query, min_by(s.id, hit_rank) as parent from seeds s join d0 on d0.id = s.id where d0.kind = 'contract' group by query),
+h1 as (select * from (select query, rid, strong, free, row_number() over (partition by query order by pos) as place from (
+  select pr.query, st.rid, coalesce(ho.strong, 0) as strong, m.query is null as free, min(st.pos) as pos
+  from pr join st on st.parent = pr.parent left join med m on m.query = pr.query left join ho on ho.query = pr.query and ho.rid = st.rid
+  where (m.query is null or coalesce(ho.strong, 0) > 0) and (pr.query, st.rid) not in (select (query, id) from seeds) group by all)) where place <= 3),
+h2 as (select query, rid, row_number() over (partition by query order by o) as place from (
+  select h1.query, st.rid, min({'a': -h1.strong, 'b': h1.place, 'c': st.pos}) as o
+  from h1 join st on st.parent = h1.rid left join ho on ho.query = h1.query and ho.rid = st.rid
+  where (h1.free or h1.strong > 0) and (h1.free or coalesce(ho.held, 0) > 0) and (h1.query, st.rid) not in (select (query, id) from seeds) and (h1.query, st.rid) not in (select (query, rid) from h1)
+  group by h1.query, st.rid))
+select query, 0 as hop, hit_rank as place, id from seeds
+union all select query, 1, place, rid from h1
+union all select h2.query, 2, h2.place, h2.rid from h2 join (select query, count(*) as n from h1 group by query) c on c.query = h2.query where h2.place + n <= 3""" % ", ".join(repr(w) for w in STOPWORDS)
+
 ORACLE = {
+    "impact_records": _scored_sql("kind in (%s)" % ", ".join(repr(k) for k in M.IMPACT_KINDS)).rstrip() + _IMPACT,
     "search_topk": _scored_sql() + "select query, hit_rank, id, score from ranked where hit_rank <= 10",
     "search_contracts": _scored_sql("lower(kind) = 'contract'") + "select query, hit_rank, id, score from ranked where hit_rank <= 10",
     "search_seeds": _scored_sql()
