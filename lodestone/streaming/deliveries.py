@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.storage import shared_dir
+from lodestone.storage import own_dir
 
 
 def delivered(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,7 +35,7 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     The last complete result replaces those before it, so a repeated batch changes nothing.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    base = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     last: list[int] = []
 
     def keep(batch: DataFrame, number: int) -> None:
