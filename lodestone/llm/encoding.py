@@ -173,7 +173,6 @@ def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", vocab
 
 def token_counts(ids: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """Documents, texts without tokens and tokens per source; sources may be null."""
-    return (
-        documents.select(key, "source").join(ids, key)
-        .groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.size("ids") == 0).alias("without_tokens"), F.sum(F.size("ids").cast("bigint")).alias("tokens"))
-    )
+    sizes = ids.select(key, F.size("ids").cast("bigint").alias("n"))
+    counts = documents.select(key, "source").join(sizes, key).groupBy("source")
+    return counts.agg(F.count("*").alias("documents"), F.count_if(F.col("n") == 0).alias("without_tokens"), F.sum("n").alias("tokens"))
