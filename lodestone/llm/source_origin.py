@@ -31,7 +31,7 @@ GENERATED_PATH = r"(?i)(^|/)(gen|__generated__|generated|generated-sources|gener
 MINIFIED_PATH = r"(?i)[.-]min\.(js|css|mjs)$|[.-]bundle\.(js|css|mjs)$|\.chunk\.(js|css|mjs)$|\.min\.map$"
 VENDORED_PATH = r"(?i)(^|/)(vendor|node_modules|third[_-]party|thirdparty|bower_components|site-packages|extern|external)/[^/]+/|(^|/)lib/[\w.]+-\d+(\.\d+)+/"
 
-#: comments near the top by which a tool marks its output; prose about such tools doesn't match
+#: comments by which a tool marks its output, wherever they stand; prose about such tools doesn't match
 _MARK = re.compile(
     r"""(?ix)
     @generated\b | <auto-?generated | ^\W*auto-?generated\b | \bcode\ generated\b | ^\W*(this\ (file|code|\w+)\ (is|was)\ )?(auto(matically)?[ -]?)?generated\ (by|from|with)\b
@@ -51,12 +51,11 @@ _DIGITS = re.compile(r"\d+")
 _TOKEN = re.compile(r"[^\W\d]\w*|\d[\w.]*|\"[^\"\n]*\"|'[^'\n]*'|[^\s\w]")
 _COMMENT_LINE = re.compile(r"(?m)^[ \t]*(?://|#|/\*|\*|<!--|--|\"\"\"|''').*$")
 
-HEAD_LINES = 12
 LONG_LINE = 300
 
 
-def _head_comments(lines: list[str]) -> list[str]:
-    return [s for line in lines[:HEAD_LINES] if (s := line.strip()).startswith(_COMMENT_START)]
+def _comments(lines: list[str]) -> list[str]:
+    return [s for line in lines if (s := line.strip()).startswith(_COMMENT_START)]
 
 
 def own_reason(text: str) -> str | None:
@@ -64,15 +63,15 @@ def own_reason(text: str) -> str | None:
     if not text or text.isspace():
         return None
     lines = [line for line in text.splitlines() if line.strip()]
-    head = _head_comments(lines)
-    if any(_LICENCE.search(c) for c in head):
+    comments = _comments(lines)
+    if any(_LICENCE.search(c) for c in comments):
         return "vendored"
-    if any(_MARK.search(c) and not _NOT_MARK.search(c) for c in head):
+    if any(_MARK.search(c) and not _NOT_MARK.search(c) for c in comments):
         return "generated"
     code = [line for line in lines if not line.lstrip().startswith(_COMMENT_START)] or lines
     size = sum(map(len, code))
     long = [line for line in code if len(line) > LONG_LINE]
-    sample = text if len(head) == 0 else "\n".join(code)
+    sample = text if len(comments) == 0 else "\n".join(code)
     if size > 400 and len(_LITERAL.sub("", sample)) < 0.2 * len(sample):
         return "data"
     # dense code in long lines; prose and messages in long lines have a blank for every word

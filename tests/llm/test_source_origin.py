@@ -34,6 +34,22 @@ def test_own_reason(text, reason):
     assert S.own_reason(text) == reason
 
 
+PREAMBLE = "".join(f"// remark {i} of the team\n" for i in range(30))
+DEEP = {
+    PREAMBLE + "// @generated by foo\n" + code(30): "generated",
+    PREAMBLE + "// (c) the foo contributors\n" + code(31): "vendored",
+    code(32) + "\n// Automatisch erzeugt durch foo, bitte nicht ändern": "generated",
+    code(33) + "\n# Machine written: foo 1.2\n" + code(34): "generated",
+    code(35) + "\n// Reads reports generated by foo and sorts them.": None,
+    PREAMBLE + code(36): None,
+}
+
+
+@pytest.mark.parametrize(("text", "reason"), DEEP.items(), ids=range(len(DEEP)))
+def test_marks_anywhere(text, reason):
+    assert S.own_reason(text) == reason
+
+
 def test_fingerprints_survive_edits_and_do_not_cross_texts():
     a, b = code(10, 200), code(11, 200)
     edited = a.replace(a.split("\n")[50], "    changed.line(0);\n    another(1);")
