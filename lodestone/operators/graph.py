@@ -66,22 +66,42 @@ def degrees(all_edges: DataFrame) -> DataFrame:
     return out.unionByName(into).groupBy("id", "type").agg(F.sum("outgoing").cast("bigint").alias("outgoing"), F.sum("incoming").cast("bigint").alias("incoming"))
 
 
+# Languages whose classes are found at any depth, and those whose exports are found anywhere in a line.
+NESTED_CLASSES, NESTED_EXPORTS = ["java", "kotlin"], ["typescript", "javascript"]
+_TYPE_WORDS = r"(?:(?:public|protected|private|final|abstract|sealed|non-sealed|open|data|static)\s+)*(class|interface|enum|record|object)\s+([A-Z]\w*)"
+_EXPORTED = r"export\s+(?:async\s+)?(?:function|const|type)\s+([A-Za-z]\w*)"
+
+
 def code_symbols(files: DataFrame) -> DataFrame:
     """(repo, path, symbol, symbol_kind, line): types and exported functions that source files define.
 
     Lines count from 1.  Classes of Java, Kotlin, TypeScript, JavaScript and Python, Go types and
     exported functions, exported functions of scripts; names with a leading underscore are private.
+    Java's and Kotlin's classes may be indented, and exports of scripts stand anywhere in a line,
+    each of several counts; all else begins its line.  Without language the path's ending tells it.
     """
+    language = F.coalesce(F.lower(F.nullif("language", F.lit(""))), F.when(F.col("path").rlike(r"(?i)\.(java|kts?)$"), NESTED_CLASSES[0]).when(F.col("path").rlike(r"(?i)\.[cm]?[jt]sx?$"), NESTED_EXPORTS[0]), F.lit(""))
     rows = files.where("text is not null").select("repo", "path", "language", "text").distinct()
-    lines = rows.select("repo", "path", F.posexplode(F.split("text", "\n")).alias("n", "l"))
-    a_class = r"^(?:export\s+)?(?:default\s+)?(?:(?:public|protected|private|final|abstract|sealed|open|data|static)\s+)*(class|interface|enum|record|object)\s+([A-Z]\w*)"
+    lines = rows.select("repo", "path", language.isin(*NESTED_CLASSES).alias("nested"), language.isin(*NESTED_EXPORTS).alias("script"), F.posexplode(F.split("text", "\n")).alias("n", "l"))
+    a_class = r"^(?:export\s+)?(?:default\s+)?" + _TYPE_WORDS
+    indented = r"^\s*" + _TYPE_WORDS
     a_type = r"^type\s+([A-Z]\w*)\s+(?:struct|interface)\b"
     a_func = r"^func\s+([A-Z]\w*)\s*\("
-    exported = r"^export\s+(?:async\s+)?(?:function|const|type)\s+([A-Za-z]\w*)"
+    exported = "^" + _EXPORTED
     take = lambda pattern, group: F.regexp_extract("l", pattern, group)
-    kind = F.when(F.col("l").rlike(a_class), take(a_class, 1)).when(F.col("l").rlike(a_type), "type").when(F.col("l").rlike(a_func), "function").when(F.col("l").rlike(exported), "export")
-    name = F.when(F.col("l").rlike(a_class), take(a_class, 2)).when(F.col("l").rlike(a_type), take(a_type, 1)).when(F.col("l").rlike(a_func), take(a_func, 1)).otherwise(take(exported, 1))
-    return lines.withColumn("symbol_kind", kind).where("symbol_kind is not null").select("repo", "path", name.alias("symbol"), "symbol_kind", (F.col("n") + 1).alias("line"))
+    found = lambda kind, name: F.array(F.struct(kind.alias("symbol_kind"), name.alias("symbol")))
+    none = F.array().cast("array<struct<symbol_kind:string,symbol:string>>")
+    first = (
+        F.when(F.col("l").rlike(a_class), found(take(a_class, 1), take(a_class, 2))).when(F.col("nested") & F.col("l").rlike(indented), found(take(indented, 1), take(indented, 2)))
+        .when(F.col("l").rlike(a_type), found(F.lit("type"), take(a_type, 1))).when(F.col("l").rlike(a_func), found(F.lit("function"), take(a_func, 1))).when(F.col("l").rlike(exported), found(F.lit("export"), take(exported, 1)))
+        .otherwise(none)
+    )
+    every = lambda pattern, group: F.regexp_extract_all("l", F.lit(pattern), F.lit(group))
+    types = r"\bexport\s+(?:default\s+)?" + _TYPE_WORDS
+    others = F.transform(every(r"\b" + _EXPORTED, 1), lambda name: F.struct(F.lit("export").alias("symbol_kind"), name.alias("symbol")))
+    anywhere = F.concat(F.zip_with(every(types, 1), every(types, 2), lambda kind, name: F.struct(kind.alias("symbol_kind"), name.alias("symbol"))), others)
+    symbols = F.array_distinct(F.concat(first, F.when(F.col("script") & F.contains(F.col("l"), F.lit("export")), anywhere).otherwise(none)))
+    return lines.select("repo", "path", F.explode(symbols).alias("s"), "n").select("repo", "path", "s.symbol", "s.symbol_kind", (F.col("n") + 1).alias("line"))
 
 
 def imports(files: DataFrame) -> DataFrame:
