@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.operators import search as S
 from lodestone.operators.matching import containing
 from lodestone.operators.retrieval import document_texts
 from lodestone.storage import materialize
@@ -14,6 +15,9 @@ from lodestone.vocab import ANCHOR_KEEP_RANK, ANCHOR_PRIORITY, ANCHOR_SOFT_CAP,
 # Kinds whose texts are searched for symbols; anchors kept per repository.
 LINKING_KINDS = ["contract", "architecture", "integrations", "adr"]
 ANCHORS_PER_REPO = 500
+# Kinds that seed the tests of a query; seeds of a query; what each symbol of a seed and each token of the query add.
+SEED_KINDS = ["contract", "integrations", "architecture", "code_anchor"]
+SEEDS, SEED_SYMBOL, QUERY_TOKEN = 8, 5, 2
 
 
 def mentions(manifest: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -104,13 +108,31 @@ def test_runs(manifest: DataFrame, chunks: DataFrame) -> DataFrame:
     return full.select(F.col("id").alias("test_id"), "path", F.explode(F.array_distinct(F.flatten(F.transform(F.concat(stack, F.array(F.coalesce("text", F.lit("")))), X.runs)))).alias("run"))
 
 
+def symbols_of_seeds(queries: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(query, symbol), distinct: the symbols of a query's best records of the seeding kinds and of the anchors these list.
+
+    An anchor's symbol follows the last ``#`` of its id.  Symbols are trimmed; empty ones are none.
+    """
+    seeds = S.search(S.restricted(S.records(manifest), kinds=SEED_KINDS), queries, SEEDS).select("query", "id")
+    anchors = F.filter(X.strings(F.col("code_anchors")), lambda a: F.contains(a, F.lit("#")))
+    named = F.concat(X.strings(F.array("symbol")), F.transform(anchors, lambda a: F.substring_index(a, "#", -1)))
+    symbols = manifest.select("id", F.explode(F.array_distinct(F.transform(named, X.stripped))).alias("symbol")).where("symbol <> ''").distinct()
+    return seeds.join(symbols, "id").select("query", "symbol").distinct()
+
+
 def tests_of_queries(queries: DataFrame, manifest: DataFrame, chunks: DataFrame, limit: int = 8) -> DataFrame:
-    """(query, test_rank, test_id, score): two points for every significant token of a query that a test holds."""
+    """(query, test_rank, test_id, score): the tests that hold most of each query.
+
+    Two points for every significant token, with repetitions, and five for every symbol of the
+    query's seeds that a test holds, whatever the case.
+    """
     where = materialize(test_runs(manifest, chunks), "test-runs")
     asked = queries.select("query").where("query is not null").distinct()
-    each = asked.select("query", F.explode(X.significant(X.tokens(F.col("query")))).alias("token")).groupBy("query", "token").agg(F.count("*").alias("times"))
-    held = containing(each, "token", where, "run").join(where, "run").select("token", "test_id", "path").distinct()
-    rows = each.join(held, "token").groupBy("query", "test_id", "path").agg((2 * F.sum("times")).alias("score"))
+    tokens = asked.select("query", F.explode(X.significant(X.tokens(F.col("query")))).alias("needle"), F.lit(QUERY_TOKEN).alias("points"))
+    symbols = symbols_of_seeds(asked, manifest).select("query", F.lower("symbol").alias("needle"), F.lit(SEED_SYMBOL).alias("points"))
+    each = materialize(tokens.unionByName(symbols).groupBy("query", "needle").agg(F.sum("points").alias("points")), "test-needles")
+    held = containing(each, "needle", where, "run").join(where, "run").select("needle", "test_id", "path").distinct()
+    rows = each.join(held, "needle").groupBy("query", "test_id", "path").agg(F.sum("points").alias("score"))
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), F.coalesce("path", F.lit("")), "test_id")
     return rows.withColumn("test_rank", F.row_number().over(order)).where(F.col("test_rank") <= limit).select("query", "test_rank", "test_id", "score")
 
