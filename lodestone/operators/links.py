@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as X
 from lodestone.operators import search as S
 from lodestone.operators.matching import containing
-from lodestone.operators.retrieval import document_texts
 from lodestone.storage import materialize
 from lodestone.vocab import ANCHOR_KEEP_RANK, ANCHOR_PRIORITY, ANCHOR_SOFT_CAP, lookup
 
@@ -100,12 +99,15 @@ def related_records(manifest: DataFrame, kinds: list[str] | None = None) -> Data
 
 
 def test_runs(manifest: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(test_id, path, run) of a test's symbol, title, path, keywords and the first 8,000 characters of its text."""
-    tests = manifest.where("kind = 'test_anchor'").select("id", "symbol", "title", "path", "keywords").distinct()
+    """(test_id, path, run), distinct, of a test's symbol, title, path, keywords and its whole text.
+
+    Chunks meet at line breaks, so no run crosses them and each gives its own.
+    """
+    tests = manifest.where("kind = 'test_anchor'").select(F.col("id").alias("test_id"), "symbol", "title", "path", "keywords").distinct()
     stack = F.array_union(F.array(*(F.coalesce(F.col(c), F.lit("")) for c in ("symbol", "title", "path"))), X.strings(F.col("keywords")))
-    texts = document_texts(chunks.join(tests.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
-    full = tests.join(texts, tests["id"] == texts["doc_id"], "left")
-    return full.select(F.col("id").alias("test_id"), "path", F.explode(F.array_distinct(F.flatten(F.transform(F.concat(stack, F.array(F.coalesce("text", F.lit("")))), X.runs)))).alias("run"))
+    of_fields = tests.select("test_id", "path", F.explode(F.flatten(F.transform(stack, X.runs))).alias("run"))
+    texts = tests.select("test_id", "path").distinct().join(chunks.where("chunk_id is not null and text <> ''").select(F.col("doc_id").alias("test_id"), "text"), "test_id")
+    return of_fields.unionByName(texts.select("test_id", "path", F.explode(X.runs(F.col("text"))).alias("run"))).distinct()
 
 
 def symbols_of_seeds(queries: DataFrame, manifest: DataFrame) -> DataFrame:

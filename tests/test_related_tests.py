@@ -21,3 +21,12 @@ def test_symbols_of_seeds_count(spark):
     assert {(r.query, r.symbol) for r in L.symbols_of_seeds(asked, manifest).collect()} == {("ledger export", s) for s in ("LedgerWriter", "Other", "LedgerReader")}
     got = [tuple(r) for r in L.tests_of_queries(asked, manifest, chunks).orderBy("query", "test_rank").collect()]
     assert got == [("ledger export", 1, "t4", 17), ("ledger export", 2, "t1", 7), ("ledger export", 3, "t2", 4)]
+
+
+def test_whole_texts_count(spark):
+    manifest = spark.createDataFrame([record("a", "code_anchor", symbol="LedgerWriter"), record("t1", "test_anchor"), record("t2", "test_anchor")], MANIFEST)
+    long = "filler " * 2000
+    chunks = spark.createDataFrame([("t1#0", "t1", None, None, long), ("t1#1", "t1", None, None, long + "LedgerWriter"), ("t2#0", "t2", None, None, "Ledger"), ("t2#1", "t2", None, None, "Writer")], CHUNKS)
+    assert [tuple(r) for r in L.tests_of_symbols(manifest, chunks).collect()] == [("LedgerWriter", 1, "t1", 24)]
+    got = L.tests_of_queries(spark.createDataFrame([("ledgerwriter",)], "query string"), manifest, chunks).collect()
+    assert [tuple(r) for r in got] == [("ledgerwriter", 1, "t1", 7)]
