@@ -78,6 +78,54 @@ def test_copies(spark):
     }
 
 
+def workspace(spark, rows, repos=100):
+    """``rows`` beside two own files in each of many repositories."""
+    own = [(f"own{i}", f"src/f{j}.java", code(1000 + 2 * i + j)) for i in range(repos) for j in range(2)]
+    return spark.createDataFrame(own + rows, "repo string, path string, text string").repartition(5)
+
+
+def found(df):
+    return {(r.repo, r.path): r.like for r in S.judged_files(df).collect()}
+
+
+SHARED = code(50, 120)
+
+
+def test_unmarked_code_in_many_unrelated_repositories(spark):
+    rows = [(f"own{i}", "src/a.java", SHARED if i % 3 else SHARED + "\n    local.edit();") for i in range(40)]
+    assert found(workspace(spark, rows)) == {(r, p): "wide" for r, p, _ in rows}
+
+
+def test_own_code_that_one_repository_vendors(spark):
+    rows = [(f"own{i}", "src/a.java", SHARED) for i in range(9)]
+    assert found(workspace(spark, [*rows, ("own50", "vendor/x/a.java", SHARED)])) == {("own50", "vendor/x/a.java"): None}
+
+
+def test_forks_count_once(spark):
+    rows = [(f"fork{i}", f"src/{j}.java", code(60 + j, 120)) for i in range(40) for j in range(3)] + [(f"fork{i}", "src/own.java", code(70 + i)) for i in range(40)]
+    assert found(workspace(spark, [*rows, ("own50", "vendor/x/a.java", code(60, 120))])) == {("own50", "vendor/x/a.java"): None}
+
+
+def test_minified_copies_keep_their_library(spark):
+    script = "!function(t,e){" + "".join(f"const {code(90 + i, 1)[4:8]}{i}=await open(b{i},{i});" for i in range(60)) + "}(this);"
+    rows = [("own1", "node_modules/x/a.js", script), ("own2", "src/x.js", script), ("own3", "src/y.js", script)]
+    got = {(r.repo, r.path): r.reason for r in S.not_hand_written(workspace(spark, rows)).collect()}
+    assert got == {(r, p): "vendored" for r, p, _ in rows}
+
+
+def test_redelivered_files_count_once(spark):
+    half = SHARED.split("\n")
+    mixed = "\n".join(half[:40]) + "\n" + code(80, 80)
+    rows = [("own1", "vendor/x/a.java", SHARED), ("own2", "src/b.java", SHARED)] + [("own3", "src/mixed.java", mixed)] * 3
+    assert set(found(workspace(spark, rows))) == {("own1", "vendor/x/a.java"), ("own2", "src/b.java")}
+
+
+def test_little_text_bears_little(spark):
+    assert S.lower_bound(3, 3) < 0.5 < S.lower_bound(30, 30) and S.lower_bound(0, 0) == 0.0
+    rows = [(f"own{i}", "src/tiny.java", "class A { int x; int y; int z; }") for i in range(60)]
+    assert found(workspace(spark, rows)) == {}
+
+
 def test_decisions(spark):
     found = spark.createDataFrame([("r", "gen/a.ts", "generated")], "repo string, path string, reason string")
     rows = [(1, "r", ".\\gen\\A.ts", True), (2, "r", "/gen//a.ts", False), (3, None, "gen/a.ts", True), (4, "r", "src/a.ts", True), (1, "r", ".\\gen\\A.ts", True), (5, "r", None, True)]
