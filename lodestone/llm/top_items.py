@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,10 +22,32 @@ from lodestone.storage import materialize
 BOUND = "_bound"
 
 
-def _best(rows: pd.DataFrame, group: list[str], order: list[str], key: str, n: int) -> pd.DataFrame:
-    """Per group the first ``n`` rows by ``order`` (score descending, the others ascending)."""
-    rows = rows.drop_duplicates([*group, *order]).sort_values(order, ascending=[False, *[True] * (len(order) - 1)], kind="stable", na_position="first")
-    return rows[rows.groupby(group, sort=False, dropna=False).cumcount() < n]
+def _group_numbers(rows: pa.Table, group: list[str]) -> np.ndarray:
+    """A number per row, equal for rows of one group; nulls are equal."""
+    number = np.zeros(rows.num_rows, np.int64)
+    for name in group:
+        codes = rows.column(name).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        number = np.unique(number * (codes.max(initial=0) + 1) + codes, return_inverse=True)[1]
+    return number
+
+
+def _best(rows: pa.Table, group: list[str], order: list[str], n: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """(rows, group numbers, ranks from 0) of the first ``n`` distinct rows of each group.
+
+    Order is score descending, the others ascending with nulls first, strings by their bytes;
+    all values stay in Arrow, so large integers are exact.
+    """
+    rows = rows.group_by(rows.column_names, use_threads=False).aggregate([])
+    number = _group_numbers(rows, group)
+    sorted_by = rows.select(order).rename_columns([f"o{i}" for i in range(len(order))]).append_column("g", pa.array(number))
+    keys = [("g", "ascending"), ("o0", "descending"), *((f"o{i}", "ascending") for i in range(1, len(order)))]
+    at = pc.sort_indices(sorted_by, sort_keys=keys, null_placement="at_start").to_numpy()
+    number = number[at]
+    begins = np.concatenate([[True], number[1:] != number[:-1]]) if len(at) else np.zeros(0, bool)
+    first = np.flatnonzero(begins)
+    rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    keep = rank < n
+    return rows.take(pa.array(at[keep])), number[keep], rank[keep]
 
 
 def block_survivors(df: DataFrame, group: list[str], score: str, ties: list[str], key: str, n: int, block_rows: int = 200_000) -> DataFrame:
@@ -37,28 +61,31 @@ def block_survivors(df: DataFrame, group: list[str], score: str, ties: list[str]
     columns = list(dict.fromkeys([*group, *order]))
     schema = T.StructType([*df.select(*columns).schema.fields, T.StructField(BOUND, df.schema[score].dataType, True)])
 
-    def closed(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = _best(rows, group, order, key, n)
-        by = rows.groupby(group, sort=False, dropna=False)
-        nth = rows[score].where(by[score].transform("size") >= n)
-        return rows.assign(**{BOUND: nth.groupby([rows[g] for g in group], sort=False, dropna=False).transform("min").astype("Int64" if rows[score].dtype.kind in "iu" else rows[score].dtype)})
+    def closed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows, number, rank = _best(rows, group, order, n)
+        place = np.full(number.max(initial=-1) + 1, -1, np.int64)
+        place[number[rank == n - 1]] = np.flatnonzero(rank == n - 1)
+        last = place[number]
+        bounds = rows.column(score).take(pa.array(last, pa.int64(), mask=last < 0))
+        yield from rows.append_column(BOUND, bounds).combine_chunks().to_batches()
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         size = 0
         for batch in batches:
-            held.append(batch)
-            size += len(batch)
+            if batch.num_rows:
+                held.append(pa.Table.from_batches([batch]))
+                size += batch.num_rows
             if size >= block_rows:
-                thinned = _best(pd.concat(held, ignore_index=True), group, order, key, n)
-                held, size = [thinned], len(thinned)
+                thinned = _best(pa.concat_tables(held), group, order, n)[0]
+                held, size = [thinned], thinned.num_rows
                 if size >= block_rows // 2:
-                    yield closed(thinned)
+                    yield from closed(thinned)
                     held, size = [], 0
         if size:
-            yield closed(pd.concat(held, ignore_index=True))
+            yield from closed(pa.concat_tables(held))
 
-    return df.select(*columns).mapInPandas(blocks, schema)
+    return df.select(*columns).mapInArrow(blocks, schema)
 
 
 def top_items(df: DataFrame, group: list[str], score: str, ties: list[str], key: str, n: int = 5) -> DataFrame:

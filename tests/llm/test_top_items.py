@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm.top_items import top_items
 
@@ -37,3 +38,19 @@ def test_small_blocks_and_empty(spark, monkeypatch):
     survivors = module.block_survivors(df, ["g", "h"], "score", ["path"], "item", 5, block_rows=100).collect()
     assert {(r.score, r.item) for r in survivors} >= {(49, 49 + 50 * i) for i in range(5)}
     assert top_items(df.limit(0), ["g", "h"], "score", ["path"], "item", 5).count() == 0
+
+
+def test_large_integers_and_nulls_stay_exact(spark):
+    big = 2**53
+    rows = [(big + 1, big + 3, 1, "p"), (big, big + 3, 2, "p"), (None, None, 3, "p"), (big + 1, None, 4, None), (big + 1, None, 4, None), (None, big, 5, "p")]
+    df = spark.createDataFrame(rows, "g long, h long, item long, path string").withColumn("score", F.lit(big + 1).cast("long")).repartition(2)
+    got = {(r.g, r.h, r.item, r.score) for r in top_items(df, ["g", "h"], "score", ["path"], "item", 1).collect()}
+    assert got == {(g, h, i, big + 1) for g, h, i, _ in rows}
+
+
+@pytest.mark.parametrize("kind", ["double", "decimal(20,3)", "string", "timestamp"])
+def test_scores_of_other_types(spark, kind):
+    df = spark.range(400).select((F.col("id") % 3).alias("g"), F.col("id").alias("item"), F.lit("p").alias("path"), (F.col("id") * 1000).cast("long").alias("s")).repartition(3)
+    score = F.format_string("%09d", "s") if kind == "string" else F.timestamp_seconds("s") if kind == "timestamp" else F.col("s").cast(kind)
+    got = {(r.g, r.item) for r in top_items(df.withColumn("score", score), ["g"], "score", ["path"], "item", 2).collect()}
+    assert got == {(i % 3, i) for i in range(394, 400)}
