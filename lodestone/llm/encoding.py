@@ -149,30 +149,55 @@ def encode_texts(texts: list[str | None], index: PairIndex) -> tuple[np.ndarray,
     return offsets.astype(np.int32), ids
 
 
-def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(key, ids) of every row by the vocabulary file, without special tokens.
+def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, keep: list[str] | None = None) -> DataFrame:
+    """(key, ids) of every row by the vocabulary file, without special tokens, and the columns to ``keep``.
 
     The text is taken as stored and strings that look like markers are plain text; a null and an
-    empty text give an empty list.  Repeated rows stay repeated.  The merges are broadcast: their
-    number is that of the vocabulary, whatever the size of the corpus.
+    empty text give an empty list.  Repeated rows stay repeated, null keys stay.  The merges are
+    broadcast: their number is that of the vocabulary, whatever the size of the corpus.
     """
     merges = documents.sparkSession.sparkContext.broadcast(load_merges(vocabulary))
+    kept = [key, *(keep or [])]
 
     def batches(rows):
         index = _WORKER.get(vocabulary)
         if index is None:
             index = _WORKER[vocabulary] = PairIndex(merges.value)
         for batch in rows:
-            offsets, ids = encode_texts(batch.column(1).to_pylist(), index)
+            offsets, ids = encode_texts(batch.column(len(kept)).to_pylist(), index)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), lists], names=[*kept, "ids"])
 
-    schema = T.StructType([documents.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType(), True), True)])
-    return documents.select(key, text).mapInArrow(batches, schema)
+    schema = T.StructType([*(documents.schema[c] for c in kept), T.StructField("ids", T.ArrayType(T.IntegerType(), True), True)])
+    return documents.select(*kept, F.col(text).alias("_text")).mapInArrow(batches, schema)
 
 
-def token_counts(ids: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Documents, texts without tokens and tokens per source; sources may be null."""
-    sizes = ids.select(key, F.size("ids").cast("bigint").alias("n"))
-    counts = documents.select(key, "source").join(sizes, key).groupBy("source")
-    return counts.agg(F.count("*").alias("documents"), F.count_if(F.col("n") == 0).alias("without_tokens"), F.sum("n").alias("tokens"))
+def token_counts(documents: DataFrame, by: str = "source", key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """(by, documents, without_tokens, tokens): every row counts, repeated ones and those without key too; null is a group."""
+    sizes = encoded(documents, key, text, vocabulary, [by]).select(by, F.size("ids").cast("bigint").alias("n"))
+    return sizes.groupBy(by).agg(F.count("*").alias("documents"), F.count_if(F.col("n") == 0).alias("without_tokens"), F.sum("n").alias("tokens"))
+
+
+def token_bytes(path: str = VOCABULARY) -> list[bytes]:
+    """The bytes of every id of the vocabulary."""
+    with open(path, encoding="utf-8") as file:
+        ids = json.load(file)["model"]["vocab"]
+    byte_of = {letter: b for b, letter in enumerate(_byte_letters())}
+    out = [b""] * (max(ids.values()) + 1)
+    for name, i in ids.items():
+        out[i] = bytes(byte_of[c] for c in name) if all(c in byte_of for c in name) else name.encode("utf-8")
+    return out
+
+
+def decoded(ids: DataFrame, key: str = "doc_id", column: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
+    """(key, text) of lists of ids: the texts they stand for; a null list gives a null text."""
+    table = ids.sparkSession.sparkContext.broadcast(token_bytes(vocabulary))
+
+    def batches(rows):
+        pieces = table.value
+        for batch in rows:
+            texts = [None if values is None else b"".join([pieces[i] for i in values]).decode("utf-8", "replace") for values in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+
+    schema = T.StructType([ids.schema[key], T.StructField("text", T.StringType())])
+    return ids.select(key, column).mapInArrow(batches, schema)

@@ -55,8 +55,18 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
-    return encoding.token_counts(encoding.encoded(documents), documents)
+    return encoding.token_counts(table(spark, folder, "documents"))
+
+
+def p6_empty(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and texts without tokens per source: the part of ``p6_counts`` that SQL can state."""
+    return p6_counts(spark, folder).select("source", "documents", "without_tokens")
+
+
+def p6_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """Digest and size of what the ids of each document stand for: equal to the text's own, null as empty."""
+    texts = encoding.decoded(encoding.encoded(table(spark, folder, "documents")))
+    return texts.select("doc_id", F.md5("text").alias("digest"), F.octet_length("text").cast("bigint").alias("n_bytes"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,7 +94,7 @@ QUERIES = {
     "p3_found": p3_found, "p3_groups": p3_groups,
     "p4_found": p4_found,
     "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_snippets": p5_snippets,
-    "p6_ids": p6_ids, "p6_counts": p6_counts,
+    "p6_ids": p6_ids, "p6_counts": p6_counts, "p6_empty": p6_empty, "p6_decoded": p6_decoded,
     "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_cleaned": p7_cleaned,
     "p8_found": p8_found, "p8_forms": p8_forms,
 }
@@ -106,6 +116,8 @@ having count(*) >= 0.6 * (a.n + b.n - count(*))""",
 select run_id, repo, anchor_type, hit_id
 from (select distinct run_id, repo, anchor_type, hit_id, score, path from search_hits where score is not null and anchor_type is not null)
 qualify row_number() over (partition by run_id, repo, anchor_type order by score desc, path asc nulls first, hit_id) <= 5""",
+    "p6_empty": "select source, count(*) as documents, count(*) filter (coalesce(text, '') = '') as without_tokens from documents group by source",
+    "p6_decoded": "select doc_id, md5(coalesce(text, '')) as digest, strlen(coalesce(text, '')) as n_bytes from documents",
     "p5_found": """
 select distinct chunk_id from chunks
 where strlen(text) > 2048 and chunk_id in (select unnest(top_chunk_ids) from search_hits)""",

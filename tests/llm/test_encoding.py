@@ -40,3 +40,17 @@ def test_memory_limit_and_repeated_rows(spark, monkeypatch):
     assert [x.tolist() for x in first] == [x.tolist() for x in again]
     df = spark.createDataFrame([(1, "a b"), (1, "a b")], "doc_id long, text string")
     assert E.encoded(df).count() == 2
+
+
+def test_counts_of_repeated_and_keyless_rows(spark):
+    rows = [(1, "a b", "s"), (1, "a b", "s"), (None, "a b", "s"), (2, None, "s"), (3, "", None), (4, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.source: (r.documents, r.without_tokens, r.tokens) for r in E.token_counts(df).collect()}
+    assert got == {"s": (4, 1, 6), None: (2, 1, 1)}
+
+
+def test_decoding_gives_the_texts_back(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in E.decoded(E.encoded(df)).collect()}
+    assert got == {i: t or "" for i, t in enumerate(TEXTS)}
+    assert [tuple(r) for r in E.decoded(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")).collect()] == [(1, None), (2, "")]
