@@ -46,6 +46,13 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.chunk_pieces(table(spark, folder, "search_hits"), table(spark, folder, "chunks"))
 
 
+def p5_rejoined(spark: SparkSession, folder: str) -> DataFrame:
+    """What the pieces of each chunk give when put together: its own digest; whether sizes and overlaps keep their limits."""
+    whole = splitting.rejoined(p5_pieces(spark, folder), "chunk_id")
+    within = (F.col("largest") <= splitting.LIMIT) & (F.col("most_overlap") <= splitting.OVERLAP) & (F.col("pieces") > 1)
+    return whole.select("chunk_id", F.md5("text").alias("digest"), within.alias("within_limits"))
+
+
 def p5_snippets(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.snippet_pieces(table(spark, folder, "search_hits"), p5_pieces(spark, folder))
 
@@ -93,7 +100,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_reasons": p1_reasons, "p1_decisions": p1_decisions,
     "p3_found": p3_found, "p3_groups": p3_groups,
     "p4_found": p4_found,
-    "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_snippets": p5_snippets,
+    "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_rejoined": p5_rejoined, "p5_snippets": p5_snippets,
     "p6_ids": p6_ids, "p6_counts": p6_counts, "p6_empty": p6_empty, "p6_decoded": p6_decoded,
     "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_cleaned": p7_cleaned,
     "p8_found": p8_found, "p8_forms": p8_forms,
@@ -120,5 +127,8 @@ qualify row_number() over (partition by run_id, repo, anchor_type order by score
     "p6_decoded": "select doc_id, md5(coalesce(text, '')) as digest, strlen(coalesce(text, '')) as n_bytes from documents",
     "p5_found": """
 select distinct chunk_id from chunks
+where strlen(text) > 2048 and chunk_id in (select unnest(top_chunk_ids) from search_hits)""",
+    "p5_rejoined": """
+select distinct chunk_id, md5(text) as digest, true as within_limits from chunks
 where strlen(text) > 2048 and chunk_id in (select unnest(top_chunk_ids) from search_hits)""",
 }

@@ -38,14 +38,27 @@ def as_text(octets: Column) -> Column:
     return F.decode(F.encode(octets, "ISO-8859-1"), "UTF-8")
 
 
+def running_sums(sizes: Column, block: int = 512) -> Column:
+    """Sums of all earlier entries of an array, by blocks, so that appending costs little for long arrays."""
+    append = lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x))
+    blocks = F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1)), F.lit(block))
+    totals = F.transform(blocks, lambda i: F.aggregate(F.slice(sizes, i, F.lit(block)), F.lit(0), lambda a, x: a + x))
+    bases = F.aggregate(totals, F.array(F.lit(0)), append)
+    within = lambda i, base: F.slice(F.aggregate(F.slice(sizes, i, F.lit(block)), F.array(base), append), 1, block)
+    return F.slice(F.flatten(F.zip_with(blocks, F.slice(bases, F.lit(1), F.size(blocks)), within)), F.lit(1), F.size(sizes))
+
+
 def split_oversized(df: DataFrame, key: str, text: str, keep: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """(key, keep columns, piece_no, begins, overlap, piece) of the texts of more than ``limit`` bytes.
 
     ``begins`` is the character offset of the piece in the text, counted from 0, ``overlap`` the
-    number of characters it repeats; leaving those out and joining the pieces by ``piece_no``
-    gives the text back.  A null or empty text, or one within the limit, gives no piece.  The
-    bytes kept free for the overlap follow from the widest character of the text (1 to 4 bytes),
-    so every piece of ``overlap`` + new characters stays within ``limit``.
+    number of characters it repeats from the end of what the piece before adds; leaving those out
+    and joining the pieces by ``piece_no`` gives the text back.  A null or empty text, or one within
+    the limit, gives no piece.  The bytes kept free for the overlap follow from the widest character
+    of the text (1 to 4 bytes), so every piece of ``overlap`` + new characters stays within ``limit``.
+
+    Pieces are made inside the array of parts, each from the tail of the part before and its own
+    part, so the work is linear in the length of a text and no row carries the whole text.
     """
     if limit <= 4 * overlap + 4:
         raise ValueError("limit must exceed four bytes for each character of overlap")
@@ -55,21 +68,26 @@ def split_oversized(df: DataFrame, key: str, text: str, keep: list[str], limit:
     parts = F.lit(None)
     for w in (1, 2, 3, 4):
         parts = F.when(F.col("_width") == w, F.regexp_extract_all("_octets", F.lit(cut_pattern(limit - w * overlap)), F.lit(0))).otherwise(parts)
-    cut = large.withColumn("_octets", octets).withColumn("_width", width).withColumn("_parts", parts)
-    lengths = F.transform("_parts", lambda p: F.length(as_text(p)))
-    # running sum of the lengths: where each part begins, and last where the text ends
-    starts = F.aggregate("_lengths", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    cut = cut.withColumn("_lengths", lengths).withColumn("_starts", starts)
-    pieces = cut.select(key, *keep, "_text", F.posexplode("_lengths").alias("piece_no", "_length"), "_starts")
-    start = F.element_at("_starts", F.col("piece_no") + 1)
-    before = F.when(F.col("piece_no") == 0, 0).otherwise(F.least(F.lit(overlap), start))
-    pieces = pieces.withColumn("_start", start).withColumn("overlap", before)
+    cut = large.select(key, *keep, octets.alias("_octets"), width.alias("_width")).withColumn("_parts", F.transform(parts, as_text)).drop("_octets")
+    tails = F.transform("_parts", lambda p: F.right(p, F.lit(overlap)))
+    before = F.concat(F.array(F.lit("")), F.slice(tails, F.lit(1), F.size("_parts") - 1))
+    cut = cut.withColumn("_before", before).withColumn("_starts", running_sums(F.transform("_parts", F.length)))
+    pieces = cut.select(key, *keep, F.posexplode(F.arrays_zip("_before", "_parts", "_starts")).alias("piece_no", "_p"))
     return pieces.select(
-        key, *keep, "piece_no", (F.col("_start") - F.col("overlap")).alias("begins"), "overlap",
-        F.substring("_text", F.col("_start") - F.col("overlap") + 1, F.col("overlap") + F.col("_length")).alias("piece"),
+        key, *keep, "piece_no", (F.col("_p._starts") - F.length("_p._before")).alias("begins"), F.length("_p._before").alias("overlap"),
+        F.concat("_p._before", "_p._parts").alias("piece"),
     )
 
 
+def rejoined(pieces: DataFrame, key: str) -> DataFrame:
+    """(key, text, pieces, largest, most_overlap) put together again from pieces, in their order."""
+    own = F.struct("piece_no", F.substring("piece", F.col("overlap") + 1, F.length("piece")).alias("new"))
+    whole = pieces.groupBy(key).agg(  # the pieces of one text
+        F.array_sort(F.collect_list(own)).alias("_p"), F.count("*").alias("pieces"), F.max(F.octet_length("piece")).alias("largest"), F.max("overlap").alias("most_overlap")
+    )
+    return whole.select(key, F.array_join(F.col("_p.new"), "").alias("text"), "pieces", "largest", "most_overlap")
+
+
 def named_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """(chunk_id, doc_id, heading, text) of the chunks that at least one hit names, each once.
 

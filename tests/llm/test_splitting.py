@@ -1,6 +1,9 @@
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
-from lodestone.llm.splitting import named_chunks, snippet_pieces, split_oversized
+from lodestone.llm.splitting import named_chunks, rejoined, running_sums, snippet_pieces, split_oversized
 
 TEXTS = {
     "paragraphs": "\n\n".join(f"Paragraph {i} " + "word " * 60 for i in range(40)),
@@ -55,3 +58,21 @@ def test_named_chunks_and_snippets(spark):
     assert [r.chunk_id for r in named.collect()] == ["d#0"]
     got = snippet_pieces(hits, split_oversized(named, "chunk_id", "text", ["doc_id"])).collect()
     assert [tuple(r) for r in got] == [("d", "d#0", 0)]
+
+
+@pytest.mark.parametrize("n", [1, 511, 512, 513, 1500])
+def test_running_sums(spark, n):
+    sizes = [(i * 7) % 13 for i in range(n)]
+    got = spark.createDataFrame([(sizes,)], "s array<int>").select(running_sums(F.col("s"))).first()[0]
+    assert got == [sum(sizes[:i]) for i in range(n)]
+
+
+def test_long_texts_take_linear_time(spark):
+    texts = spark.createDataFrame([(n, "Some words of a long text. " * (n * 40_000)) for n in (1, 3)], "k int, text string")
+    seconds = []
+    for n in (1, 3):
+        began = time.time()
+        row = rejoined(split_oversized(texts.where(F.col("k") == n), "k", "text", []), "k").first()
+        seconds.append(time.time() - began)
+        assert row.text == "Some words of a long text. " * (n * 40_000) and row.largest <= 2048 and row.most_overlap <= 200
+    assert seconds[1] < 10
