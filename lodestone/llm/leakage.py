@@ -1,17 +1,21 @@
 """Evaluation texts inside a training corpus, by a generalised suffix automaton of the test items.
 
-The automaton is built over the words of the normalized items and broadcast in blocks of bounded
-size; a corpus of any length streams through it once per block.  At each word it knows the
-longest suffix read so far that occurs in an item, and which items hold it.
+The automaton is built over the words of the normalized items, in blocks of bounded size that are
+packed into arrays and broadcast one by one.  A corpus of any length streams through all blocks in
+one scan; a worker holds one block at a time.  At each word an automaton knows the longest suffix
+read so far that occurs in an item, and which items hold it.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,8 +23,8 @@ from pyspark.sql import types as T
 from lodestone.llm.text_form import canonical
 
 WINDOW = 13
-#: words of test items in one automaton; more items are taken in further blocks over the corpus
-BLOCK_WORDS = 1_000_000
+#: words of test items in one automaton: about 6 MB packed, 80 MB while it is built
+BLOCK_WORDS = 100_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -30,45 +34,23 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(canonical(text).lower()) if text else []
 
 
-class ItemAutomaton:
-    """Generalised suffix automaton over item words, with the items that hold each state."""
+def _packed(lists: dict[int, list[int]], n: int) -> tuple[array, array]:
+    """(offsets, values) of the lists of ``n`` states."""
+    offsets, values = array("i", [0]), array("i")
+    for state in range(n):
+        values.extend(lists.get(state, ()))
+        offsets.append(len(values))
+    return offsets, values
 
-    def __init__(self, items: list[tuple[int, list[str]]], window: int = WINDOW) -> None:
-        self.window = window
-        self.vocabulary: dict[str, int] = {}
-        self.sizes = {key: len(words) for key, words in items}
-        coded = [(key, [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]) for key, words in items if words]
+
+class _Growing:
+    """Transitions, suffix links and lengths of an automaton while it is built."""
+
+    def __init__(self) -> None:
         self.step: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        ends: list[tuple[int, list[int]]] = []
-        for key, codes in coded:
-            last, states = 0, []
-            for code in codes:
-                last = self._extend(last, code)
-                states.append(last)
-            ends.append((key, states))
-        held: list[list[int]] = [[] for _ in self.step]
-        whole: list[list[int]] = [[] for _ in self.step]
-        for key, states in ends:
-            seen: set[int] = set()
-            for state in states:
-                while state > 0 and state not in seen:
-                    seen.add(state)
-                    held[state].append(key)
-                    state = self.link[state]
-            if self.sizes[key] < window:
-                whole[states[-1]].append(key)
-        self.held, self.whole = held, whole
-        #: nearest state on the way of suffix links that is a whole short item
-        self.short_link = [-1] * len(self.step)
-        for state in sorted(range(1, len(self.step)), key=self.length.__getitem__):
-            up = self.link[state]
-            self.short_link[state] = up if up > 0 and whole[up] else self.short_link[up] if up > 0 else -1
-        pairs = {(a << 32) | b for _, codes in coded for a, b in zip(codes, codes[1:], strict=False)}
-        self.pairs = np.array(sorted(pairs), np.int64)
-        self.least = min([window, *(len(codes) for _, codes in coded)], default=window)
 
-    def _extend(self, last: int, code: int) -> int:
+    def extend(self, last: int, code: int) -> int:
         """Add one word after the state ``last``; the new state of the whole prefix."""
         step, link, length = self.step, self.link, self.length
         if code in step[last]:
@@ -101,30 +83,87 @@ class ItemAutomaton:
         self.length.append(length)
         return len(self.step) - 1
 
+
+class ItemAutomaton:
+    """Generalised suffix automaton over item words, with the items that hold each state, in packed arrays.
+
+    ``items`` are (key, words, size): the words of an item, or of a part of a long one, and the
+    number of words of the whole item.
+    """
+
+    def __init__(self, items: list[tuple[int, list[str], int]], window: int = WINDOW) -> None:
+        self.window = window
+        self.vocabulary: dict[str, int] = {}
+        self.keys = [key for key, words, _ in items if words]
+        self.sizes = [size for _, words, size in items if words]
+        coded = [[self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words] for _, words, _ in items if words]
+        growing = _Growing()
+        ends = []
+        for codes in coded:
+            last, states = 0, []
+            for code in codes:
+                last = growing.extend(last, code)
+                states.append(last)
+            ends.append(states)
+        link, length = growing.link, growing.length
+        held: dict[int, list[int]] = {}
+        whole: dict[int, list[int]] = {}
+        for item, states in enumerate(ends):
+            seen: set[int] = set()
+            for state in states:
+                # shorter states never report: a stretch is at least a window long
+                while state > 0 and length[state] >= window and state not in seen:
+                    seen.add(state)
+                    held.setdefault(state, []).append(item)
+                    state = link[state]
+            if self.sizes[item] < window:
+                whole.setdefault(states[-1], []).append(item)
+        n = len(length)
+        #: nearest state on the way of suffix links that is a whole short item
+        short_link = [-1] * n
+        for state in sorted(range(1, n), key=length.__getitem__):
+            up = link[state]
+            short_link[state] = up if up > 0 and up in whole else short_link[up] if up > 0 else -1
+        self.link, self.length, self.short_link = array("i", link), array("i", length), array("i", short_link)
+        steps = sorted(((state << 32) | code, target) for state, step in enumerate(growing.step) for code, target in step.items())
+        self.step_from, self.step_to = array("q", (k for k, _ in steps)), array("i", (t for _, t in steps))
+        self.held_at, self.held = _packed(held, n)
+        self.whole_at, self.whole = _packed(whole, n)
+        pairs = {(a << 32) | b for codes in coded for a, b in zip(codes, codes[1:], strict=False)}
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.least = min([window, *map(len, coded)], default=window)
+
+    def _next(self, state: int, code: int) -> int:
+        wanted = (state << 32) | code
+        at = bisect_left(self.step_from, wanted)
+        return self.step_to[at] if at < len(self.step_from) and self.step_from[at] == wanted else -1
+
     def stream(self, codes: list[int], first: int = 0) -> Iterator[tuple[int, int, int]]:
-        """(item, begin, end): stretches of words that hold ``window`` words of the item or all of it.
+        """(item number, begin, end): stretches of words that hold ``window`` words of the item or all of it.
 
         ``end`` is where the stretch was seen to reach; longer ones follow with the same begin.
         """
-        step, link, length, window = self.step, self.link, self.length, self.window
+        link, length, window = self.link, self.length, self.window
         state = matched = 0
         for at, code in enumerate(codes, first + 1):
-            while state and code not in step[state]:
+            target = self._next(state, code)
+            while target < 0 and state:
                 state = link[state]
                 matched = length[state]
-            if code not in step[state]:
+                target = self._next(state, code)
+            if target < 0:
                 continue
-            state = step[state][code]
+            state = target
             matched += 1
             now, size = state, matched
             while now > 0 and size >= window:
-                for item in self.held[now]:
+                for item in self.held[self.held_at[now] : self.held_at[now + 1]]:
                     yield item, at - size, at
                 now = link[now]
                 size = length[now]
-            now = state if self.whole[state] and length[state] == matched else self.short_link[state]
+            now = state if length[state] == matched and self.whole_at[state] < self.whole_at[state + 1] else self.short_link[state]
             while now > 0:
-                for item in self.whole[now]:
+                for item in self.whole[self.whole_at[now] : self.whole_at[now + 1]]:
                     yield item, at - length[now], at
                 now = self.short_link[now]
 
@@ -152,7 +191,7 @@ class ItemAutomaton:
             yield int(np.searchsorted(bounds, begin, side="right")) - 1, begin, end
 
     def found(self, texts: list[list[str]]) -> dict[tuple[int, int], list[tuple[int, int]]]:
-        """(text number, item) -> the stretches of words of the text that come from the item."""
+        """(text number, item number) -> the stretches of words of the text that come from the item."""
         get = self.vocabulary.get
         sizes = [len(words) for words in texts]
         bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
@@ -169,14 +208,39 @@ class ItemAutomaton:
         return out
 
 
-def item_blocks(benchmark: DataFrame, key: str, text: str, block_words: int) -> Iterator[list[tuple[int, list[str]]]]:
-    """Words of the items in blocks of about ``block_words``; one block unless there are more words."""
-    items = benchmark.select(key, text).where(F.col(text).isNotNull()).distinct()
-    # a word takes at least two characters with its border
-    blocks = max(1, -(-(items.agg(F.sum(F.length(text))).first()[0] or 0) // (2 * block_words)))
-    for number in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == number)
-        yield [(row[0], words_of(row[1])) for row in block.collect()]
+def item_blocks(benchmark: DataFrame, key: str, text: str, block_words: int, window: int = WINDOW, part_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, list[str], int]]]:
+    """(key, words, size) of the items in blocks of about ``block_words``; the driver holds one at a time.
+
+    An item of more than ``part_words`` comes in parts that overlap by a window less one word, so
+    that each window of it is whole in a part.
+    """
+    items = benchmark.select(key, text).where(F.length(text) > 0).distinct()
+    block: list[tuple[int, list[str], int]] = []
+    room = block_words
+    for row in items.toLocalIterator():  # one partition at a time
+        words = words_of(row[1])
+        for begin in range(0, max(1, len(words) - window + 1), max(1, part_words - window + 1)):
+            part = words[begin : begin + max(part_words, window)]
+            if block and len(part) > room:
+                yield block
+                block, room = [], block_words
+            block.append((row[0], part, len(words)))
+            room -= len(part)
+    yield block
+
+
+def automata(benchmark: DataFrame, key: str, text: str, window: int, block_words: int) -> list[Broadcast]:
+    """The packed automata of all blocks, each built, broadcast and dropped before the next."""
+    context = benchmark.sparkSession.sparkContext
+    return [context.broadcast(ItemAutomaton(block, window)) for block in item_blocks(benchmark, key, text, block_words, window)]
+
+
+def each_of(machines: list[Broadcast]) -> Iterator[ItemAutomaton]:
+    """In a worker: the automata one by one; of several, none stays in memory while the next is used."""
+    for machine in machines:
+        yield machine.value
+        if len(machines) > 1:
+            machine.__dict__.pop("_value", None)  # read again from the executor's copy when needed next
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -184,38 +248,32 @@ def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", item:
 
     A document holds an item if it has ``window`` consecutive words of it, or all its words if
     it has fewer.  ``longest`` is the longest such stretch in words, ``coverage`` its share of
-    the item.  Null and empty texts, and items without a word, are in no pair.  Equal rows give
-    equal results once; two items with the same words are both reported.
+    the item (of an item of more than ``BLOCK_WORDS``, stretches end with its parts).  Null and empty texts,
+    and items without a word, are in no pair.  Equal rows give equal results once; two items with
+    the same words are both reported.
     """
-    spark = documents.sparkSession
     schema = T.StructType([documents.schema[key], T.StructField(item, benchmark.schema[item].dataType), T.StructField("longest", T.IntegerType()), T.StructField("coverage", T.DoubleType())])
     corpus = documents.select(key, text).where(F.length(text) > 0)
-    out = None
-    for items in item_blocks(benchmark, item, text, block_words):
-        automaton = spark.sparkContext.broadcast(ItemAutomaton(items, window))
+    machines = automata(benchmark, item, text, window, block_words)
 
-        def matches(batches: Iterator[pd.DataFrame], automaton=automaton) -> Iterator[pd.DataFrame]:
-            machine: ItemAutomaton = automaton.value
-            for batch in batches:
-                spans = machine.found([words_of(t) for t in batch[text]])
-                rows = [(batch[key].iat[n], i, max(e - b for b, e in s)) for (n, i), s in spans.items()]
-                yield pd.DataFrame({key: [r[0] for r in rows], item: [r[1] for r in rows], "longest": [r[2] for r in rows], "coverage": [r[2] / machine.sizes[r[1]] for r in rows]})
+    def matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words = [words_of(t) for t in batch[text]]
+            for machine in each_of(machines):
+                rows = [(batch[key].iat[n], machine.keys[i], max(e - b for b, e in s), machine.sizes[i]) for (n, i), s in machine.found(words).items()]
+                yield pd.DataFrame({key: [r[0] for r in rows], item: [r[1] for r in rows], "longest": [r[2] for r in rows], "coverage": [r[2] / r[3] for r in rows]})
 
-        part = corpus.mapInPandas(matches, schema)
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy(key, item).agg(F.max("longest").alias("longest"), F.max("coverage").alias("coverage"))
+    return corpus.mapInPandas(matches, schema).groupBy(key, item).agg(F.max("longest").alias("longest"), F.max("coverage").alias("coverage"))
 
 
-def cleaned(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, most_words: int = WINDOW, most_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
+def cleaned(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", window: int = WINDOW, most_words: int = WINDOW, most_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(key, form, removed): the consistent form of each text without leaked spans.
 
     A span is removed if it is at least ``most_words`` long or covers at least ``most_coverage``
-    of its item.  Null texts stay null with nothing removed.
+    of its item.  Null texts stay null with nothing removed.  Repeated rows stay repeated.
     """
-    spark = documents.sparkSession
     schema = T.StructType([documents.schema[key], T.StructField("form", T.StringType()), T.StructField("removed", T.IntegerType())])
-    blocks = list(item_blocks(benchmark, "item_id", text, block_words))
-    machines = [spark.sparkContext.broadcast(ItemAutomaton(items, window)) for items in blocks]
+    machines = automata(benchmark, item, text, window, block_words)
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -223,11 +281,10 @@ def cleaned(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
             places = [[m.span() for m in _WORD.finditer(f)] if f else [] for f in forms]
             words = [[f[b:e].lower() for b, e in p] for f, p in zip(forms, places, strict=True)]
             marked: dict[int, set[int]] = {}
-            for machine in machines:
-                for (number, item), spans in machine.value.found(words).items():
-                    size = machine.value.sizes[item]
+            for machine in each_of(machines):
+                for (number, i), spans in machine.found(words).items():
                     for b, e in spans:
-                        if e - b >= most_words or e - b >= most_coverage * size:
+                        if e - b >= most_words or e - b >= most_coverage * machine.sizes[i]:
                             marked.setdefault(number, set()).update(range(b, e))
             removed = [0] * len(forms)
             for number, gone in marked.items():

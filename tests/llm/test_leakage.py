@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import pytest
@@ -22,10 +23,11 @@ def test_automaton_equals_brute_force(window):
     items = [(i, rng.choices(letters, k=rng.randint(0, 20))) for i in range(25)] + [(99, []), (100, list("abab")), (101, list("abab"))]
     texts = [(n, rng.choices(letters + "xyz", k=rng.randint(0, 40))) for n in range(120)]
     texts += [(200 + k, ["x", *item, "y"]) for k, item in items]
-    found = L.ItemAutomaton(items, window).found([w for _, w in texts])
-    assert {(texts[n][0], i) for n, i in found} == brute(texts, items, window)
+    machine = L.ItemAutomaton([(k, w, len(w)) for k, w in items], window)
+    found = machine.found([w for _, w in texts])
+    assert {(texts[n][0], machine.keys[i]) for n, i in found} == brute(texts, items, window)
     for (n, i), spans in found.items():
-        item = dict(items)[i]
+        item = dict(items)[machine.keys[i]]
         for b, e in spans:
             assert any(texts[n][1][b:e] == item[j : j + e - b] for j in range(len(item)))
 
@@ -61,3 +63,29 @@ def test_cleaned(tables):
     assert rows[7].form == "before  after" and rows[3].removed == 0 and rows[4].form is None and rows[5].form == ""
     again = L.leaks(tables[0].sparkSession.createDataFrame([(r.doc_id, r.form) for r in rows.values()], "doc_id long, text string"), tables[1])
     assert again.count() == 0
+
+
+@pytest.mark.parametrize("block_words", [5, 20, 40])
+def test_cleaned_by_many_blocks(tables, block_words):
+    one, many = L.cleaned(*tables).collect(), L.cleaned(*tables, block_words=block_words).collect()
+    assert sorted(map(repr, one)) == sorted(map(repr, many))
+
+
+def test_blocks_are_bounded_and_keep_all_windows(spark, monkeypatch):
+    words = [f"w{i}" for i in range(1000)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, "a b"), (3, None), (4, "")], "item_id long, text string")
+    blocks = list(L.item_blocks(df, "item_id", "text", 50, part_words=50))
+    assert all(sum(len(w) for _, w, _ in b) <= 50 for b in blocks)
+    parts = [w for b in blocks for k, w, size in b if k == 1]
+    windows = {tuple(w[i : i + L.WINDOW]) for w in parts for i in range(len(w) - L.WINDOW + 1)}
+    assert windows == {tuple(words[i : i + L.WINDOW]) for i in range(1000 - L.WINDOW + 1)}
+    monkeypatch.setattr(L.item_blocks, "__defaults__", (L.WINDOW, 50))
+    long = spark.createDataFrame([(9, " ".join(words[500:520]))], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in L.leaks(long, df, block_words=50).collect()] == [(9, 1)]
+
+
+def test_packed_size_of_a_block():
+    rng = random.Random(3)
+    items = [(i, [f"w{int(rng.paretovariate(0.6)) % 30000}" for _ in range(100)], 100) for i in range(200)]
+    packed = len(pickle.dumps(L.ItemAutomaton(items)))
+    assert packed < 90 * sum(len(w) for _, w, _ in items)
