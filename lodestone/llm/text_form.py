@@ -2,7 +2,8 @@
 
 Quick-check properties tell which characters may change under normalization.  Only segments
 around such characters, widened to the base character before and the marks after them, are
-normalized; the results are spliced into the text, which is otherwise passed on untouched.
+normalized; the results are spliced into the text, which is otherwise passed on untouched.  What
+kinds of variants a text holds follows from what the splices changed.
 """
 
 from __future__ import annotations
@@ -11,18 +12,30 @@ import re
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Cyrillic and Greek letters that look like a Latin letter.
-LOOKALIKES = dict(
-    zip(
-        "АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјорсухһԁԛԝѵӏ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονιρυ",
-        "ABESIJKMHOPCTYXYGQWaesijopcyxhdqwvl" "ABEZHIKMNOPTYXovipu",
-    )
-)
+# Cyrillic and Greek letters that the public list of confusable characters maps to
+# one Latin letter, with that letter; first capitals, then small letters.
+_CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮЬԌԚԜѴӀ" "аеѕіјорсухүһԁԛԝѵӏгѡҽꙇ", "ABESIJKMHOPCTYXYbGQWVl" "aesijopcyxyhdqwvlrwei", strict=True))
+_GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϜϺͿ" "αγινορσυϳ", "ABEZHIKMNOPTYXFMJ" "ayivopouj", strict=True))
+
+
+def _with_marks(letters: dict[str, str]) -> dict[str, str]:
+    """``letters`` and those that are one of them joined with marks."""
+    out = dict(letters)
+    for code in [*range(0x370, 0x400), *range(0x400, 0x530), *range(0x1F00, 0x2000)]:
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and base in letters:
+            out[chr(code)] = unicodedata.normalize("NFC", letters[base] + "".join(marks))
+    return out
+
+
+LOOKALIKES = _with_marks(_CYRILLIC | _GREEK)
 
 _LOOK = "".join(LOOKALIKES)
 #: a joiner between two pictographs, possibly with a modifier or selector between
@@ -45,75 +58,95 @@ _MIX_HINT = re.compile(f"[{_LATIN_CLASS}]{_BETWEEN}[{_LOOK}]|[{_LOOK}]{_BETWEEN}
 _FOLD = str.maketrans(LOOKALIKES)
 
 
-def _folded(match: regex.Match) -> str:
-    word = match.group()
-    return unicodedata.normalize("NFC", word.translate(_FOLD)) if _LATIN.search(word) else word
+@lru_cache(maxsize=1 << 16)
+def _spliced(segment: str) -> tuple[str, bool, bool]:
+    """(normal form, whether it makes compatibility forms plain, whether it joins marks) of a segment."""
+    plain, joined = unicodedata.normalize("NFKC", segment), unicodedata.normalize("NFC", segment)
+    shorter = joined != segment and len(joined) < len(segment)
+    return plain, plain != joined or (joined != segment and not shorter), shorter
+
+
+def examined(text: str) -> tuple[str, list[str]]:
+    """(form, traits): the consistent form and the kinds of variants the text holds.
+
+    Kinds in order: compatibility, apart (marks), invisible, lookalike.  The form has no invisible
+    characters, compatibility forms made plain, marks joined, look-alike letters inside words with
+    Latin letters made Latin.  It is stable, and has no traits; ASCII is unchanged.
+    """
+    if text.isascii() or not _HINT.search(text):
+        return text, []
+    compatibility = apart = lookalike = False
+    bare = text
+    if _UNSTABLE_ANY.search(text):
+        bare = visible = _HIDDEN.sub("", text)
+
+        def splice(match: regex.Match) -> str:
+            nonlocal compatibility, apart
+            plain, replaced, joined = _spliced(match.group())
+            compatibility |= replaced
+            apart |= joined
+            return plain
+
+        bare = _SEGMENT.sub(splice, visible)
+        invisible = len(visible) < len(text)
+    else:
+        invisible = False
+
+    def fold(match: regex.Match) -> str:
+        nonlocal lookalike
+        word = match.group()
+        if not _LATIN.search(word):
+            return word
+        lookalike = True
+        return unicodedata.normalize("NFC", word.translate(_FOLD))
+
+    form = _MIXED.sub(fold, bare) if _MIX_HINT.search(bare) else bare
+    kinds = (("compatibility", compatibility), ("apart", apart), ("invisible", invisible), ("lookalike", lookalike))
+    return form, [kind for kind, there in kinds if there]
 
 
 def canonical_marks(text: str) -> str:
     """Without invisible characters and in normal form: only unstable segments are normalized and spliced in."""
     if not _UNSTABLE_ANY.search(text):
         return text
-    return _SEGMENT.sub(lambda m: unicodedata.normalize("NFKC", m.group()), _HIDDEN.sub("", text))
+    return _SEGMENT.sub(lambda m: _spliced(m.group())[0], _HIDDEN.sub("", text))
 
 
 def canonical(text: str) -> str:
-    """The consistent form: no invisible characters, compatibility forms made plain, marks joined,
-    look-alike letters inside words with Latin letters made Latin.  Idempotent; ASCII is unchanged."""
-    if text.isascii() or not _HINT.search(text):
-        return text
-    text = canonical_marks(text)
-    return _MIXED.sub(_folded, text) if _MIX_HINT.search(text) else text
-
-
-@lru_cache(maxsize=1 << 16)
-def _plain_form(char: str) -> bool:
-    return unicodedata.normalize("NFKC", char) == unicodedata.normalize("NFC", char) == char
+    """The consistent form."""
+    return examined(text)[0]
 
 
 def traits(text: str) -> list[str]:
-    """Which kinds of variant the text holds: compatibility, apart, invisible, lookalike."""
-    if text.isascii() or not _HINT.search(text):
-        return []
-    found = []
-    unstable = set(_UNSTABLE_ANY.findall(text))
-    if any(not _plain_form(c) for c in unstable):
-        found.append("compatibility")
-    if unstable:
-        bare = _HIDDEN.sub("", text)
-        # composition changes a segment whose characters are plain one by one
-        if any((n := unicodedata.normalize("NFC", s)) != s and len(n) < len(s) for s in _SEGMENT.findall(bare)):
-            found.append("apart")
-        if _HIDDEN.search(text):
-            found.append("invisible")
-    bare = canonical_marks(text) if unstable else text
-    if _MIX_HINT.search(bare) and any(_LATIN.search(w) for w in _MIXED.findall(bare)):
-        found.append("lookalike")
-    return found
+    """Which kinds of variant the text holds."""
+    return examined(text)[1]
 
 
 def text_forms(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, form, changed, traits) of every row.
+    """(key, form, changed, traits) of every row, in one pass.
 
     A null text has a null form, is unchanged and has no traits; an empty text stays empty.
-    Rows with the same key are kept as they are; other columns are left out.
+    Rows with the same key are kept as they are; other columns are left out.  ASCII texts stay
+    in their Arrow batches.
     """
-    rows = documents.select(key, text)
-    plain = rows.where(F.col(text).isNull() | ~F.col(text).rlike(r"[^\x00-\x7F]"))
-    other = rows.where(F.col(text).rlike(r"[^\x00-\x7F]"))
 
     def forms(batches):
         for batch in batches:
-            texts = batch[text]
-            form = texts.map(canonical)
-            yield pd.DataFrame({key: batch[key], "form": form, "changed": form != texts, "traits": texts.map(traits)})
+            texts = batch.column(1)
+            other = pc.fill_null(pc.invert(pc.string_is_ascii(texts)), False)
+            treated = [examined(t) for t in texts.filter(other).to_pylist()]
+            form = pc.replace_with_mask(texts, other, pa.array([f for f, _ in treated], texts.type))
+            changed = pc.fill_null(pc.not_equal(form, texts), False)
+            sizes = pa.array([len(k) for _, k in treated], pa.int32())
+            counts = pc.replace_with_mask(pa.array([0] * len(texts), pa.int32()), other, sizes).to_numpy()
+            offsets = pa.array([0, *counts.cumsum().tolist()], pa.int32())
+            kinds = pa.ListArray.from_arrays(offsets, pa.array([k for _, ks in treated for k in ks], pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), form, changed, kinds], names=[key, "form", "changed", "traits"])
 
-    key_type = documents.schema[key].dataType.simpleString()
-    treated = other.mapInPandas(forms, f"`{key}` {key_type}, form string, changed boolean, traits array<string>")
-    untouched = plain.select(key, F.col(text).alias("form"), F.lit(False).alias("changed"), F.array().cast("array<string>").alias("traits"))
-    return untouched.unionByName(treated)
+    schema = T.StructType([documents.schema[key], T.StructField("form", T.StringType()), T.StructField("changed", T.BooleanType()), T.StructField("traits", T.ArrayType(T.StringType()))])
+    return documents.select(key, text).mapInArrow(forms, schema)
 
 
 def variant_documents(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Keys of the texts that hold at least one variant character, each once."""
-    return text_forms(documents, key, text).where(F.size("traits") > 0).select(key).distinct()
+    """Keys of the texts that hold at least one variant character, each once; ASCII texts aren't sent to Python."""
+    return text_forms(documents.where(F.col(text).rlike(r"[^\x00-\x7F]")), key, text).where(F.size("traits") > 0).select(key).distinct()
