@@ -29,9 +29,9 @@ BLOCK_WORDS = 100_000
 _WORD = re.compile(r"[^\W_]+")
 
 
-def words_of(text: str | None) -> list[str]:
-    """Longest runs of letters and digits of the consistent form, lower-cased."""
-    return _WORD.findall(canonical(text).lower()) if text else []
+def words_of(text: str | None, form: bool = True) -> list[str]:
+    """Longest runs of letters and digits of the consistent form, or of the text as it is, lower-cased."""
+    return _WORD.findall((canonical(text) if form else text).lower()) if text else []
 
 
 def _packed(lists: dict[int, list[int]], n: int) -> tuple[array, array]:
@@ -208,7 +208,7 @@ class ItemAutomaton:
         return out
 
 
-def item_blocks(benchmark: DataFrame, key: str, text: str, block_words: int, window: int = WINDOW, part_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, list[str], int]]]:
+def item_blocks(benchmark: DataFrame, key: str, text: str, block_words: int, window: int = WINDOW, part_words: int = BLOCK_WORDS, form: bool = True) -> Iterator[list[tuple[int, list[str], int]]]:
     """(key, words, size) of the items in blocks of about ``block_words``; the driver holds one at a time.
 
     An item of more than ``part_words`` comes in parts that overlap by a window less one word, so
@@ -218,7 +218,7 @@ def item_blocks(benchmark: DataFrame, key: str, text: str, block_words: int, win
     block: list[tuple[int, list[str], int]] = []
     room = block_words
     for row in items.toLocalIterator():  # one partition at a time
-        words = words_of(row[1])
+        words = words_of(row[1], form)
         for begin in range(0, max(1, len(words) - window + 1), max(1, part_words - window + 1)):
             part = words[begin : begin + max(part_words, window)]
             if block and len(part) > room:
@@ -229,10 +229,10 @@ def item_blocks(benchmark: DataFrame, key: str, text: str, block_words: int, win
     yield block
 
 
-def automata(benchmark: DataFrame, key: str, text: str, window: int, block_words: int) -> list[Broadcast]:
+def automata(benchmark: DataFrame, key: str, text: str, window: int, block_words: int, form: bool = True) -> list[Broadcast]:
     """The packed automata of all blocks, each built, broadcast and dropped before the next."""
     context = benchmark.sparkSession.sparkContext
-    return [context.broadcast(ItemAutomaton(block, window)) for block in item_blocks(benchmark, key, text, block_words, window)]
+    return [context.broadcast(ItemAutomaton(block, window)) for block in item_blocks(benchmark, key, text, block_words, window, form=form)]
 
 
 def each_of(machines: list[Broadcast]) -> Iterator[ItemAutomaton]:
@@ -243,22 +243,22 @@ def each_of(machines: list[Broadcast]) -> Iterator[ItemAutomaton]:
             machine.__dict__.pop("_value", None)  # read again from the executor's copy when needed next
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, form: bool = True) -> DataFrame:
     """(key, item, longest, coverage) of every document and the test items it holds.
 
     A document holds an item if it has ``window`` consecutive words of it, or all its words if
     it has fewer.  ``longest`` is the longest such stretch in words, ``coverage`` its share of
     the item (of an item of more than ``BLOCK_WORDS``, stretches end with its parts).  Null and empty texts,
     and items without a word, are in no pair.  Equal rows give equal results once; two items with
-    the same words are both reported.
+    the same words are both reported.  Without ``form`` texts are compared as they are stored.
     """
     schema = T.StructType([documents.schema[key], T.StructField(item, benchmark.schema[item].dataType), T.StructField("longest", T.IntegerType()), T.StructField("coverage", T.DoubleType())])
     corpus = documents.select(key, text).where(F.length(text) > 0)
-    machines = automata(benchmark, item, text, window, block_words)
+    machines = automata(benchmark, item, text, window, block_words, form)
 
     def matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            words = [words_of(t) for t in batch[text]]
+            words = [words_of(t, form) for t in batch[text]]
             for machine in each_of(machines):
                 rows = [(batch[key].iat[n], machine.keys[i], max(e - b for b, e in s), machine.sizes[i]) for (n, i), s in machine.found(words).items()]
                 yield pd.DataFrame({key: [r[0] for r in rows], item: [r[1] for r in rows], "longest": [r[2] for r in rows], "coverage": [r[2] / r[3] for r in rows]})
@@ -266,18 +266,18 @@ def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", item:
     return corpus.mapInPandas(matches, schema).groupBy(key, item).agg(F.max("longest").alias("longest"), F.max("coverage").alias("coverage"))
 
 
-def cleaned(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", window: int = WINDOW, most_words: int = WINDOW, most_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
+def cleaned(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", window: int = WINDOW, most_words: int = WINDOW, most_coverage: float = 0.5, block_words: int = BLOCK_WORDS, form: bool = True) -> DataFrame:
     """(key, form, removed): the consistent form of each text without leaked spans.
 
     A span is removed if it is at least ``most_words`` long or covers at least ``most_coverage``
     of its item.  Null texts stay null with nothing removed.  Repeated rows stay repeated.
     """
     schema = T.StructType([documents.schema[key], T.StructField("form", T.StringType()), T.StructField("removed", T.IntegerType())])
-    machines = automata(benchmark, item, text, window, block_words)
+    machines = automata(benchmark, item, text, window, block_words, form)
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            forms = [None if t is None else canonical(t) for t in batch[text]]
+            forms = [None if t is None else canonical(t) if form else t for t in batch[text]]
             places = [[m.span() for m in _WORD.finditer(f)] if f else [] for f in forms]
             words = [[f[b:e].lower() for b, e in p] for f, p in zip(forms, places, strict=True)]
             marked: dict[int, set[int]] = {}

@@ -29,6 +29,8 @@ from lodestone.storage import materialize
 PARTS = 4
 #: sets that may bear a signature before it is split by rare elements
 BUCKET = 200
+#: share of all shared signatures beyond which one is joined by broadcast: at most 1 / share of them, whatever the corpus
+HEAVY = 1e-4
 #: counters of the frequency sketch that orders elements by rarity (4 MB, whatever the corpus)
 COUNTERS = 1 << 20
 #: widths of the bands of a + b
@@ -167,9 +169,12 @@ def similar_sets(sets: DataFrame, threshold: float, bucket: int = BUCKET) -> Dat
     ``sets``: a table of (set_id, elements) with distinct sets, read several times.
     """
     sizes = [row[0] for row in sets.select(F.size("elements").alias("n")).distinct().collect()]  # distinct sizes only
-    signed = signatures(sets, threshold, sizes)
-    shared = signed.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
-    borne = materialize(signed.join(shared, "sig"), "signatures")
+    signed = materialize(signatures(sets, threshold, sizes), "signatures")
+    counts = materialize(signed.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1"), "signature-counts")
+    limit = max(bucket, math.ceil(HEAVY * (counts.agg(F.sum("n")).first()[0] or 0)))
+    # a signature that very many sets bear isn't gathered in one task
+    heavy = F.broadcast(counts.where(F.col("n") > limit))
+    borne = materialize(signed.join(counts.where(F.col("n") <= limit), "sig").unionByName(signed.join(heavy, "sig")), "shared-signatures")
     small = _pairs(borne.where(F.col("n") <= bucket), threshold)
     rare = with_rarest(sets, threshold)
     split = borne.where(F.col("n") > bucket).join(rare, "set_id").select(F.explode("rarest").alias("e"), "sig", "set_id", "bits", "size").select(F.xxhash64("sig", "e").alias("sig"), "set_id", "bits", "size")
@@ -183,26 +188,34 @@ def similar_sets(sets: DataFrame, threshold: float, bucket: int = BUCKET) -> Dat
     return checked.withColumn("similarity", similarity).where(F.col("similarity") >= threshold).select("set_a", "set_b", "similarity")
 
 
-def prepared(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(records, sets) as written tables; sets has each distinct set once."""
+def similar_classes(df: DataFrame, key: str, text: str, threshold: float, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """(key, set_id) of the records and (set_a, set_b) of the similar sets, as written tables.
+
+    Records with equal sets are one class, so a group of n copies costs n rows here.  Records
+    without two words are in no class.  Null keys and texts are left out, repeated rows count once.
+    """
     members = materialize(records(df, key, text), "records")
-    sets = members.groupBy("set_id").agg(F.first("elements").alias("elements"))
-    return members.select(key, "set_id"), materialize(sets, "sets")
+    sets = materialize(members.groupBy("set_id").agg(F.first("elements").alias("elements")), "sets")
+    pairs = materialize(similar_sets(sets, threshold, bucket).select("set_a", "set_b"), "set-pairs")
+    return members.select(key, "set_id"), pairs
 
 
-def similar_records(df: DataFrame, key: str = "doc_id", text: str = "snippet", threshold: float = 0.6) -> DataFrame:
-    """(key_a, key_b) of all pairs of different records of at least ``threshold``; key_a < key_b.
+def expanded(members: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """(key_a, key_b) of all pairs of different records in equal or similar sets; key_a < key_b.
 
-    Records without two words are in no pair; records with equal sets have similarity 1.
-    Null keys and texts are left out, repeated rows count once.
+    As many rows as there are pairs: n copies give n * (n - 1) / 2 of them.
     """
-    members, sets = prepared(df, key, text)
-    a, b = f"{key}_a", f"{key}_b"
     first = members.select(F.col(key).alias("_x"), F.col("set_id").alias("set_a"))
     second = members.select(F.col(key).alias("_y"), F.col("set_id").alias("set_b"))
-    between = similar_sets(sets, threshold).join(first, "set_a").join(second, "set_b").select("_x", "_y")
-    equal = first.join(second, F.col("set_a") == F.col("set_b")).where(F.col("_x") < F.col("_y")).select("_x", "_y")
-    return between.unionByName(equal).select(F.least("_x", "_y").alias(a), F.greatest("_x", "_y").alias(b))
+    between = pairs.join(first, "set_a").join(second, "set_b").select("_x", "_y")
+    copied = members.groupBy("set_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("set_id").alias("set_a"))
+    equal = first.join(copied, "set_a").join(second, F.col("set_a") == F.col("set_b")).where(F.col("_x") < F.col("_y")).select("_x", "_y")
+    return between.unionByName(equal).select(F.least("_x", "_y").alias(f"{key}_a"), F.greatest("_x", "_y").alias(f"{key}_b"))
+
+
+def similar_records(df: DataFrame, key: str = "doc_id", text: str = "snippet", threshold: float = 0.6, bucket: int = BUCKET) -> DataFrame:
+    """(key_a, key_b) of all pairs of different records of at least ``threshold``; records with equal sets have similarity 1."""
+    return expanded(*similar_classes(df, key, text, threshold, bucket), key)
 
 
 def groups(pairs: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
@@ -212,6 +225,7 @@ def groups(pairs: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame
     grows with the logarithm of the longest chain.
     """
     edges = materialize(pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
+    seen = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -220,10 +234,9 @@ def groups(pairs: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        after = materialize(small, "edges")
-        changed = after.exceptAll(edges).limit(1).count() or edges.exceptAll(after).limit(1).count()
-        edges = after
-        if not changed:
+        edges = materialize(small, "edges")
+        seen, before = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first(), seen
+        if seen == before:
             break
     else:
         raise RuntimeError("components did not settle")
@@ -237,9 +250,8 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "snippet", th
     similar records.  Records with equal sets are one node, so a group of copies costs its size,
     not its pairs.
     """
-    members, sets = prepared(df, key, text)
+    members, pairs = similar_classes(df, key, text, threshold)
     sizes = members.groupBy("set_id").agg(F.count("*").alias("size"))
-    pairs = materialize(similar_sets(sets, threshold).select("set_a", "set_b"), "set-pairs")
     both = pairs.unionByName(pairs.select(F.col("set_b").alias("set_a"), F.col("set_a").alias("set_b")))
     beside = both.join(sizes.withColumnRenamed("set_id", "set_b"), "set_b").groupBy(F.col("set_a").alias("set_id")).agg(F.sum("size").alias("beside"))
     linked = sizes.join(beside, "set_id", "left").select("set_id", (F.col("size") - 1 + F.coalesce("beside", F.lit(0))).alias("links")).where("links > 0")

@@ -88,6 +88,17 @@ def p7_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.cleaned(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def p7_verbatim(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaks by the words of the texts as stored, without bringing them to one form first."""
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"), form=False).select("doc_id", "item_id")
+
+
+def p7_touched(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of which words are removed, again by the words as stored."""
+    rows = leakage.cleaned(table(spark, folder, "documents"), table(spark, folder, "benchmark"), form=False)
+    return rows.where("removed > 0").select("doc_id").distinct()
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return text_form.variant_documents(table(spark, folder, "documents"))
 
@@ -102,23 +113,38 @@ QUERIES = {
     "p4_found": p4_found,
     "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_rejoined": p5_rejoined, "p5_snippets": p5_snippets,
     "p6_ids": p6_ids, "p6_counts": p6_counts, "p6_empty": p6_empty, "p6_decoded": p6_decoded,
-    "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_cleaned": p7_cleaned,
+    "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_cleaned": p7_cleaned, "p7_verbatim": p7_verbatim, "p7_touched": p7_touched,
     "p8_found": p8_found, "p8_forms": p8_forms,
 }
 
-ORACLE = {
-    "p3_found": r"""
-with w as (
+_LEAKS = r"""
+i as (select item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) as w from benchmark where text is not null),
+iw as (select distinct item_id, n, array_to_string(w[k:k + n - 1], ' ') as g from (select item_id, w, least(13, len(w)) as n, unnest(range(1, len(w) - least(13, len(w)) + 2)) as k from i where len(w) > 0)),
+d as (select distinct doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) as w from documents where text is not null),
+dw as (select doc_id, n, array_to_string(w[k:k + n - 1], ' ') as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from d, (select distinct n from iw) where len(w) >= n)),
+leaks as (select distinct doc_id, item_id from dw join iw using (n, g))
+"""
+
+_SIMILAR = r"""
+w as (
   select distinct doc_id, regexp_extract_all(snippet, '[\p{L}\p{N}]+') as w from search_hits where snippet is not null
 ), s as (
   select doc_id, list_distinct([lower(w[i]) || ' ' || lower(w[i + 1]) for i in range(1, len(w))]) as e from w where len(w) > 1
 ), x as (
   select doc_id, unnest(e) as e, len(e) as n from s
-)
-select a.doc_id as doc_id_a, b.doc_id as doc_id_b
-from x a join x b on a.e = b.e and a.doc_id < b.doc_id
-group by a.doc_id, b.doc_id, a.n, b.n
-having count(*) >= 0.6 * (a.n + b.n - count(*))""",
+), alike as (
+  select a.doc_id as doc_id_a, b.doc_id as doc_id_b
+  from x a join x b on a.e = b.e and a.doc_id < b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n
+  having count(*) >= 0.6 * (a.n + b.n - count(*))
+)"""
+
+ORACLE = {
+    "p3_found": "with " + _SIMILAR + " select doc_id_a, doc_id_b from alike",
+    "p3_groups": "with recursive " + _SIMILAR + """,
+both_ways as (select doc_id_a as a, doc_id_b as b from alike union select doc_id_b, doc_id_a from alike),
+reached as (select a as doc_id, a as other from both_ways union select r.doc_id, e.b from reached r join both_ways e on e.a = r.other)
+select doc_id, min(other) as group_id, any_value(links) as links from reached join (select a as doc_id, count(*) as links from both_ways group by a) using (doc_id) group by doc_id""",
     "p4_found": """
 select run_id, repo, anchor_type, hit_id
 from (select distinct run_id, repo, anchor_type, hit_id, score, path from search_hits where score is not null and anchor_type is not null)
@@ -131,4 +157,6 @@ where strlen(text) > 2048 and chunk_id in (select unnest(top_chunk_ids) from sea
     "p5_rejoined": """
 select distinct chunk_id, md5(text) as digest, true as within_limits from chunks
 where strlen(text) > 2048 and chunk_id in (select unnest(top_chunk_ids) from search_hits)""",
+    "p7_verbatim": "with " + _LEAKS + "select doc_id, item_id from leaks",
+    "p7_touched": "with " + _LEAKS + "select distinct doc_id from leaks",
 }

@@ -79,7 +79,7 @@ def test_blocks_are_bounded_and_keep_all_windows(spark, monkeypatch):
     parts = [w for b in blocks for k, w, size in b if k == 1]
     windows = {tuple(w[i : i + L.WINDOW]) for w in parts for i in range(len(w) - L.WINDOW + 1)}
     assert windows == {tuple(words[i : i + L.WINDOW]) for i in range(1000 - L.WINDOW + 1)}
-    monkeypatch.setattr(L.item_blocks, "__defaults__", (L.WINDOW, 50))
+    monkeypatch.setattr(L.item_blocks, "__defaults__", (L.WINDOW, 50, True))
     long = spark.createDataFrame([(9, " ".join(words[500:520]))], "doc_id long, text string")
     assert [(r.doc_id, r.item_id) for r in L.leaks(long, df, block_words=50).collect()] == [(9, 1)]
 

@@ -38,11 +38,10 @@ def corpus(seed):
 
 @pytest.mark.parametrize("threshold", [0.6, 0.8])
 @pytest.mark.parametrize("bucket", [0, 3, 200])
-def test_equals_brute_force(spark, threshold, bucket, monkeypatch):
-    monkeypatch.setattr(N.similar_sets, "__defaults__", (bucket,))
+def test_equals_brute_force(spark, threshold, bucket):
     rows = corpus(bucket + int(threshold * 10))
     df = spark.createDataFrame([(k, t, 1, "x") for k, t in rows], "doc_id string, snippet string, elements int, sig string").repartition(3)
-    got = [(r.doc_id_a, r.doc_id_b) for r in N.similar_records(df, threshold=threshold).collect()]
+    got = [(r.doc_id_a, r.doc_id_b) for r in N.similar_records(df, threshold=threshold, bucket=bucket).collect()]
     assert len(got) == len(set(got))
     assert set(got) == expected(rows, threshold)
     assert got
@@ -87,3 +86,10 @@ def test_groups_equal_union_find(spark):
     touched = {n for e in edges for n in e if e[0] != e[1]}
     got = {r.member: r.group_id for r in N.groups(spark.createDataFrame(edges, "a string, b string"), "a", "b").collect()}
     assert got == {n: root(n) for n in touched}
+
+
+def test_heavy_signatures_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(N, "HEAVY", 1e-9)
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, "doc_id string, snippet string").repartition(3)
+    assert {(r.doc_id_a, r.doc_id_b) for r in N.similar_records(df, bucket=2).collect()} == expected(rows, 0.6)
