@@ -68,7 +68,8 @@ def degrees(all_edges: DataFrame) -> DataFrame:
 
 # Languages whose classes are found at any depth, and those whose exports are found anywhere in a line.
 NESTED_CLASSES, NESTED_EXPORTS = ["java", "kotlin"], ["typescript", "javascript"]
-_TYPE_WORDS = r"(?:(?:public|protected|private|final|abstract|sealed|non-sealed|open|data|static)\s+)*(class|interface|enum|record|object)\s+([A-Z]\w*)"
+_TYPE_KEYWORD = r"(?:(?:public|protected|private|final|abstract|sealed|non-sealed|open|data|static)\s+)*(class|interface|enum|record|object)\s+"
+_TYPE_WORDS, _ANY_TYPE_WORDS = _TYPE_KEYWORD + r"([A-Z]\w*)", _TYPE_KEYWORD + r"([A-Za-z]\w*)"
 _EXPORTED = r"export\s+(?:async\s+)?(?:function|const|type)\s+([A-Za-z]\w*)"
 
 
@@ -77,14 +78,14 @@ def code_symbols(files: DataFrame) -> DataFrame:
 
     Lines count from 1.  Classes of Java, Kotlin, TypeScript, JavaScript and Python, Go types and
     exported functions, exported functions of scripts; names with a leading underscore are private.
-    Java's and Kotlin's classes may be indented, and exports of scripts stand anywhere in a line,
-    each of several counts; all else begins its line.  Without language the path's ending tells it.
+    Java's and Kotlin's classes may be indented and small, and exports of scripts stand anywhere in
+    a line, each of several counts; all else begins its line.  Without language the path's ending tells it.
     """
     language = F.coalesce(F.lower(F.nullif("language", F.lit(""))), F.when(F.col("path").rlike(r"(?i)\.(java|kts?)$"), NESTED_CLASSES[0]).when(F.col("path").rlike(r"(?i)\.[cm]?[jt]sx?$"), NESTED_EXPORTS[0]), F.lit(""))
     rows = files.where("text is not null").select("repo", "path", "language", "text").distinct()
     lines = rows.select("repo", "path", language.isin(*NESTED_CLASSES).alias("nested"), language.isin(*NESTED_EXPORTS).alias("script"), F.posexplode(F.split("text", "\n")).alias("n", "l"))
     a_class = r"^(?:export\s+)?(?:default\s+)?" + _TYPE_WORDS
-    indented = r"^\s*" + _TYPE_WORDS
+    indented = r"^\s*" + _ANY_TYPE_WORDS
     a_type = r"^type\s+([A-Z]\w*)\s+(?:struct|interface)\b"
     a_func = r"^func\s+([A-Z]\w*)\s*\("
     exported = "^" + _EXPORTED
@@ -97,7 +98,7 @@ def code_symbols(files: DataFrame) -> DataFrame:
         .otherwise(none)
     )
     every = lambda pattern, group: F.regexp_extract_all("l", F.lit(pattern), F.lit(group))
-    types = r"\bexport\s+(?:default\s+)?" + _TYPE_WORDS
+    types = r"\bexport\s+(?:default\s+)?" + _ANY_TYPE_WORDS
     others = F.transform(every(r"\b" + _EXPORTED, 1), lambda name: F.struct(F.lit("export").alias("symbol_kind"), name.alias("symbol")))
     anywhere = F.concat(F.zip_with(every(types, 1), every(types, 2), lambda kind, name: F.struct(kind.alias("symbol_kind"), name.alias("symbol"))), others)
     symbols = F.array_distinct(F.concat(first, F.when(F.col("script") & F.contains(F.col("l"), F.lit("export")), anywhere).otherwise(none)))

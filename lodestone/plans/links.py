@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators import links as L
+from lodestone.plans.search import _scored_sql
 from lodestone.storage import materialize
 from lodestone.tables import table
 from lodestone.vocab import ANCHOR_KEEP_RANK, ANCHOR_PRIORITY, ANCHOR_SOFT_CAP, STOPWORDS, sql_lookup
@@ -98,9 +99,8 @@ linked as (select * from pairs qualify tier = min(tier) over (partition by id, s
 missing as (select m.* from mentions m anti join pairs p on p.id = m.id and p.symbol = m.symbol)
 """
 _TESTS = """
-ck as (select distinct chunk_id, doc_id, text, try_cast(regexp_extract(chunk_id, '#([^#]*)$', 1) as int) as number from chunks where text <> ''),
-cu as (select *, coalesce(sum(length(text)) over (partition by doc_id order by number nulls last, chunk_id rows between unbounded preceding and 1 preceding), 0) as used from ck),
-dt as (select doc_id, string_agg(left(text, (8000 - used)::int), chr(10) order by used, chunk_id) as text from cu where used < 8000 group by doc_id),
+ck as (select distinct chunk_id, doc_id, text, try_cast(regexp_extract(chunk_id, '#([^#]*)$', 1) as int) as number from chunks where text <> '' and chunk_id is not null),
+dt as (select doc_id, string_agg(text, chr(10) order by number nulls last, chunk_id) as text from ck group by doc_id),
 t as (select distinct id, path, lower(concat_ws(' ', coalesce(symbol, ''), coalesce(title, ''), coalesce(path, ''), array_to_string(coalesce(keywords, []), ' '), coalesce(dt.text, ''))) as h
       from manifest_docs m left join dt on dt.doc_id = m.id where kind = 'test_anchor')"""
 _TAILS = "list_transform(range(1, len(string_split({0}, '/')) + 1), lambda i: array_to_string(list_slice(string_split({0}, '/'), i, len(string_split({0}, '/'))), '/'))"
@@ -145,10 +145,16 @@ p as (select symbol, regexp_extract_all(regexp_replace(trim(symbol), '([A-Z]+)([
 v as (select symbol, unnest(list_distinct(list_filter(list_transform([trim(symbol)] || list_transform(range(2, len(parts) + 1), lambda n: array_to_string(list_slice(parts, 1, n), '')), lambda x: lower(x)), lambda x: length(x) >= 5))) as stem from p),
 m as (select symbol, t.id as test_id, t.path, 12 + max(least(length(stem), 16)) as score from v join t on contains(t.h, v.stem) group by symbol, t.id, t.path)
 select symbol, test_rank, test_id, score from (select *, row_number() over (partition by symbol order by score desc, coalesce(path, ''), test_id) as test_rank from m) where test_rank <= 8""",
-    "query_tests": "with " + _TESTS + f""",
-q as (select distinct query, list_filter(regexp_extract_all(lower(query), '[a-z0-9][a-z0-9_\\-]*'), lambda x: x not in ({", ".join(repr(w) for w in STOPWORDS)}) and length(x) > 1) as toks from search_hits where hit_id % 50 = 0),
-m as (select query, id as test_id, path, 2 * len(list_filter(toks, lambda x: contains(h, x))) as score from q, t)
-select query, test_rank, test_id, score from (select *, row_number() over (partition by query order by score desc, coalesce(path, ''), test_id) as test_rank from m where score > 0) where test_rank <= 8""",
+    "query_tests": _scored_sql("lower(kind) in (%s)" % ", ".join(repr(k) for k in L.SEED_KINDS)).rstrip() + "," + _TESTS + f""",
+n as (
+  select query, tok as needle, {L.QUERY_TOKEN} * times as points from qt where length(tok) > 1 and tok not in ({", ".join(repr(w) for w in STOPWORDS)})
+  union all
+  select query, lower(symbol), {L.SEED_SYMBOL} from (
+    select distinct r.query, regexp_replace(s.symbol, '^\\s+|\\s+$', '', 'g') as symbol
+    from ranked r join (select id, symbol from manifest_docs union select id, regexp_extract(a, '#([^#]*)$', 1) from (select id, unnest(code_anchors) as a from manifest_docs) where contains(a, '#')) s on s.id = r.id
+    where r.hit_rank <= {L.SEEDS}) where symbol <> ''),
+tm as (select query, id as test_id, path, cast(sum(points) as bigint) as score from n, t where contains(h, needle) group by query, id, path)
+select query, test_rank, test_id, score from (select *, row_number() over (partition by query order by score desc, coalesce(path, ''), test_id) as test_rank from tm) where test_rank <= 8""",
     "tested_by": """
 with c as (select lower(symbol) as needle, max(id) as anchor_id from manifest_docs where kind = 'code_anchor' and symbol <> '' group by lower(symbol)),
 t as (select distinct id as test_id, lower(coalesce(symbol, '') || ' ' || coalesce(path, '')) as h from manifest_docs where kind = 'test_anchor')

@@ -177,8 +177,10 @@ i as (select *, case when regexp_matches(path, '(?s)^src/.*$') then 'src/**' whe
           when regexp_matches(path, '(^|/)build(/|$)') then 'build/' when regexp_matches(path, '(^|/)[^/]*\.min\.js(/|$)') then '*.min.js' end as ign from p),
 d as (select *, case when path is null then 'no_path' when inc is null then 'not_included' when exc is not null then 'excluded' when ign is not null then 'ignored' else 'allowed' end as reason from i)
 """
-_CLASS = r"^(?:export\s+)?(?:default\s+)?(?:(?:public|protected|private|final|abstract|sealed|open|data|static)\s+)*(class|interface|enum|record|object)\s+([A-Z]\w*)"
-_TYPE, _FUNC, _EXPORT = r"^type\s+([A-Z]\w*)\s+(?:struct|interface)\b", r"^func\s+([A-Z]\w*)\s*\(", r"^export\s+(?:async\s+)?(?:function|const|type)\s+([A-Za-z]\w*)"
+_MODIFIERS = r"(?:(?:public|protected|private|final|abstract|sealed|non-sealed|open|data|static)\s+)*(class|interface|enum|record|object)\s+"
+_CLASS, _NESTED = r"^(?:export\s+)?(?:default\s+)?" + _MODIFIERS + r"([A-Z]\w*)", r"^\s*" + _MODIFIERS + r"([A-Za-z]\w*)"
+_TYPE, _FUNC, _EXPORT = r"^type\s+([A-Z]\w*)\s+(?:struct|interface)\b", r"^func\s+([A-Z]\w*)\s*\(", r"\bexport\s+(?:async\s+)?(?:function|const|type)\s+([A-Za-z]\w*)"
+_EXPORTED_TYPE = r"\bexport\s+(?:default\s+)?" + _MODIFIERS + r"([A-Za-z]\w*)"
 
 ORACLE = {
     "outlines": "with " + _BODY + rf"""
@@ -197,11 +199,18 @@ with t as (select doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(
 l as (select distinct doc_id, target from (select doc_id, unnest(regexp_extract_all(b, '(?:^|[^!])\[[^\]\n]+\]\(([^)\n]+)\)', 1)) as target from t))
 select doc_id, target, case when regexp_matches(target, '^([a-zA-Z][a-zA-Z0-9+.-]*:|//)') then 'external' when starts_with(target, '#') then 'anchor' else 'local' end as link_class from l""",
     "code_symbols": rf"""
-with f as (select distinct repo, path, language, text from source_files where text is not null),
-l as (select repo, path, unnest(string_split(text, chr(10))) as l, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line from f)
-select repo, path, case when regexp_matches(l, '{_CLASS}') then regexp_extract(l, '{_CLASS}', 2) when regexp_matches(l, '{_TYPE}') then regexp_extract(l, '{_TYPE}', 1) when regexp_matches(l, '{_FUNC}') then regexp_extract(l, '{_FUNC}', 1) else regexp_extract(l, '{_EXPORT}', 1) end as symbol,
-       case when regexp_matches(l, '{_CLASS}') then regexp_extract(l, '{_CLASS}', 1) when regexp_matches(l, '{_TYPE}') then 'type' when regexp_matches(l, '{_FUNC}') then 'function' else 'export' end as symbol_kind, line
-from l where regexp_matches(l, '{_CLASS}') or regexp_matches(l, '{_TYPE}') or regexp_matches(l, '{_FUNC}') or regexp_matches(l, '{_EXPORT}')""",
+with f as (select distinct repo, path, text, coalesce(lower(nullif(language, '')), case when regexp_matches(path, '(?i)\.(java|kts?)$') then 'java' when regexp_matches(path, '(?i)\.[cm]?[jt]sx?$') then 'typescript' else '' end) as language from source_files where text is not null),
+l as (select repo, path, language in ('java', 'kotlin') as nested, language in ('typescript', 'javascript') as script, unnest(string_split(text, chr(10))) as l, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line from f),
+lead as (
+  select repo, path, line, regexp_extract(l, '{_CLASS}', 2) as symbol, regexp_extract(l, '{_CLASS}', 1) as symbol_kind from l where regexp_matches(l, '{_CLASS}')
+  union all select repo, path, line, regexp_extract(l, '{_NESTED}', 2), regexp_extract(l, '{_NESTED}', 1) from l where nested and regexp_matches(l, '{_NESTED}') and not regexp_matches(l, '{_CLASS}')
+  union all select repo, path, line, regexp_extract(l, '{_TYPE}', 1), 'type' from l where regexp_matches(l, '{_TYPE}')
+  union all select repo, path, line, regexp_extract(l, '{_FUNC}', 1), 'function' from l where regexp_matches(l, '{_FUNC}')
+  union all select repo, path, line, regexp_extract(l, '^{_EXPORT[2:]}', 1), 'export' from l where regexp_matches(l, '^{_EXPORT[2:]}')),
+anywhere as (
+  select repo, path, line, unnest(regexp_extract_all(l, '{_EXPORT}', 1)) as symbol, 'export' as symbol_kind from l where script
+  union all select repo, path, line, unnest(regexp_extract_all(l, '{_EXPORTED_TYPE}', 2)), unnest(regexp_extract_all(l, '{_EXPORTED_TYPE}', 1)) from l where script)
+select repo, path, symbol, symbol_kind, line from lead union select repo, path, symbol, symbol_kind, line from anywhere""",
     "code_imports": r"""
 with f as (select distinct repo, path, text from source_files where text is not null)
 select distinct repo, path, target from (
