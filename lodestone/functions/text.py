@@ -15,8 +15,10 @@ GAP_PREFIX = r"^([A-Z]{2,5}-[A-Z0-9]+)"
 PASCAL = r"^[A-Z][a-zA-Z0-9]+$"
 QUOTED_SYMBOL = r"`([A-Z][A-Za-z0-9]{2,})`"
 PROSE_SYMBOL = r"\b([A-Z][a-zA-Z0-9]*(?:ServiceImpl|Service|Controller|Client|Filter|Config|Configuration|Utils|Resolver|Limiter|Guard))\b"
+# Fixed value: a part of a name in camel case.
 CAMEL_PART = r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+"
-UNLINKED_SYMBOLS = "GET POST PUT DELETE PATCH HEAD JSON URL HTTP HTTPS API JWT SQL Authorization Bearer".split()
+# Names that are no symbols, and endings of such.
+UNLINKED_SYMBOLS = ["GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "JSON", "URL", "HTTP", "HTTPS", "API", "JWT", "SQL", "Authorization", "Bearer"]
 UNLINKED_SUFFIXES = ("Payload", "Dto", "DTO")
 
 
@@ -108,6 +110,11 @@ def path_suffixes(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
 
 
+def beginnings(text: Column) -> Column:
+    """All beginnings of a text, from one character to the whole; none of an empty one."""
+    return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), F.length(text)), lambda n: F.left(text, n))).otherwise(F.array().cast("array<string>"))
+
+
 def curated_keywords(whole: list[Column], split: list[Column], most: int = 30) -> Column:
     """Whole values, then the alphanumeric parts of others: lower-cased, two characters or more, first occurrences."""
     parts = F.concat(F.array(*(F.lower(F.trim(F.coalesce(w, F.lit("")))) for w in whole)), *(F.transform(F.split(F.coalesce(s, F.lit("")), r"[^a-zA-Z0-9]+"), F.lower) for s in split))

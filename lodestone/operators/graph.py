@@ -21,8 +21,8 @@ def _docs(manifest: DataFrame) -> DataFrame:
     return docs.withColumn("node", F.coalesce(F.nullif("external_id", F.lit("")), "id")).withColumn("owner_node", F.when(F.col("owner").isNotNull(), F.concat(F.lit("owner:"), F.coalesce(owner, F.lit("None")))))
 
 
-def nodes(manifest: DataFrame) -> DataFrame:
-    """(id, type, label), one per id: records first (the least type and label), then services, owners and gaps."""
+def nodes(manifest: DataFrame, structure: DataFrame | None = None) -> DataFrame:
+    """(id, type, label), one per id: records first (the least type and label), then services, owners, gaps and ends of structural edges."""
     docs = _docs(manifest).where(F.col("kind").isin(*NODE_KINDS))
     empty = lambda c: F.nullif(F.col(c), F.lit(""))
     parts = [
@@ -31,14 +31,17 @@ def nodes(manifest: DataFrame) -> DataFrame:
         docs.where("owner_node is not null").select(F.lit(2), "owner_node", F.lit("owner"), F.coalesce(empty("owner.team"), "owner_node")),
         docs.select(F.explode(X.strings(F.col("known_gap_ids"))).alias("g")).where("g <> ''").select(F.lit(3), "g", F.lit("known_gap"), "g"),
     ]
+    if structure is not None:
+        ends = structure.select(F.explode(F.array("source", "target")).alias("n")).where("n <> ''").distinct()
+        parts.append(ends.select(F.lit(4), "n", F.lit("structural"), "n"))
     union = parts[0]
     for part in parts[1:]:
         union = union.union(part)
     return union.groupBy("id").agg(F.min(F.struct("o", "type", "label")).alias("m")).select("id", "m.type", "m.label")
 
 
-def edges(manifest: DataFrame) -> DataFrame:
-    """(from_id, to_id, type), distinct."""
+def edges(manifest: DataFrame, structure: DataFrame | None = None, evolution: DataFrame | None = None) -> DataFrame:
+    """(from_id, to_id, type), distinct: edges of the records and, where given, structural edges and evolution links."""
     docs = _docs(manifest)
     shown = docs.where(F.col("kind").isin(*NODE_KINDS))
     names = docs.select(F.col("id").alias("_id"), F.col("node").alias("to_id"))
@@ -53,6 +56,10 @@ def edges(manifest: DataFrame) -> DataFrame:
         shown.select("node", F.explode(X.strings(F.col("known_gap_ids"))).alias("g"), F.lit("mentions_gap")),
         implemented, related, tested,
     ]
+    if structure is not None:
+        parts.append(structure.where("source <> '' and target <> ''").select("source", "target", "edge_type"))
+    if evolution is not None:
+        parts.append(evolution.where("source <> '' and target <> ''").select("source", "target", "link_type"))
     union = parts[0]
     for part in parts[1:]:
         union = union.union(part)
@@ -136,8 +143,24 @@ _ROUTE = r'@(?:Get|Post|Put|Patch|Delete)Mapping\s*\(\s*(?:value\s*=\s*)?"([^"]+
 _FIELD = r"(?:private\s+final|@Autowired\s+private)\s+(\w+{0}\w*)\s+\w+;"
 
 
+# The file that holds the routes of a web application, a route with its component, an import of a page.
+_ROUTES_FILE = r"(^|/)main\.tsx$"
+_ROUTE_ELEMENT = r"""<Route\s+[^>]*path=["']([^"']+)["'][^>]*element=\{<(\w+)\s*/>\}"""
+_PAGE_IMPORT = r"""from\s+['"]@/pages/([^'"]*)['"]"""
+
+
+def route_edges(files: DataFrame) -> DataFrame:
+    """(repo, path, source, target, edge_type) of web applications: routes that components serve, pages that the file imports; distinct."""
+    rows = files.where(F.col("path").rlike(_ROUTES_FILE) & F.col("text").isNotNull()).select("repo", "path", "text").distinct()
+    found = lambda pattern, group: F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+    edge = lambda kind, source, target: F.struct(F.lit(kind).alias("edge_type"), source.alias("source"), target.alias("target"))
+    routes = F.zip_with(found(_ROUTE_ELEMENT, 1), found(_ROUTE_ELEMENT, 2), lambda route, component: edge("implements_route", component, route))
+    pages = F.transform(found(_PAGE_IMPORT, 1), lambda page: edge("imports", F.lit("main"), F.element_at(F.split(page, "/"), -1)))
+    return rows.select("repo", "path", F.explode(F.concat(routes, pages)).alias("e")).select("repo", "path", "e.source", "e.target", "e.edge_type").distinct()
+
+
 def structural_edges(files: DataFrame) -> DataFrame:
-    """(repo, path, source, target, edge_type): what the first class of each Java file imports, serves and uses; distinct.
+    """(repo, path, source, target, edge_type): what the first class of each Java file imports, serves and uses, and ``route_edges``; distinct.
 
     Types: imports (by simple name, not itself), implements_route (of a class marked as REST
     controller), uses_service and uses_repository (by injected fields).
@@ -154,7 +177,7 @@ def structural_edges(files: DataFrame) -> DataFrame:
         typed("imports", F.filter(F.transform(found(_IMPORT), lambda m: F.element_at(F.split(m, r"\."), -1)), lambda m: m != F.col("source"))), typed("implements_route", served),
         typed("uses_service", found(_FIELD.format("Service"))), typed("uses_repository", found(_FIELD.format("Repository"))),
     )
-    return rows.select("repo", "path", "source", F.explode(F.array_distinct(edges_)).alias("e")).select("repo", "path", "source", "e.target", "e.edge_type").distinct()
+    return rows.select("repo", "path", "source", F.explode(F.array_distinct(edges_)).alias("e")).select("repo", "path", "source", "e.target", "e.edge_type").distinct().unionByName(route_edges(files))
 
 
 def orientation(structure: DataFrame, per_type: int = 40) -> DataFrame:

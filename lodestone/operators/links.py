@@ -122,34 +122,61 @@ def symbols_of_seeds(queries: DataFrame, manifest: DataFrame) -> DataFrame:
     return seeds.join(symbols, "id").select("query", "symbol").distinct()
 
 
-def tests_of_queries(queries: DataFrame, manifest: DataFrame, chunks: DataFrame, limit: int = 8) -> DataFrame:
+def tests_of_queries(queries: DataFrame, manifest: DataFrame, chunks: DataFrame, limit: int = 8, primary: DataFrame | None = None, require_primary: bool = False, least_tokens: int = 0) -> DataFrame:
     """(query, test_rank, test_id, score): the tests that hold most of each query.
 
-    Two points for every significant token, with repetitions, and five for every symbol of the
-    query's seeds that a test holds, whatever the case.
+    One sum of three parts, whatever the case: two points for every significant token, with
+    repetitions; five for every symbol of the query's seeds; and 12 with the length of the longest
+    stem, up to 16, of the query's ``primary`` symbols (query, symbol), which then are no symbols of
+    seeds.  With ``require_primary`` a query that has primary symbols takes only tests that hold a
+    stem of one.  A test that holds tokens only needs ``least_tokens`` points.
     """
     where = materialize(test_runs(manifest, chunks), "test-runs")
     asked = queries.select("query").where("query is not null").distinct()
-    tokens = asked.select("query", F.explode(X.significant(X.tokens(F.col("query")))).alias("needle"), F.lit(QUERY_TOKEN).alias("points"))
-    symbols = symbols_of_seeds(asked, manifest).select("query", F.lower("symbol").alias("needle"), F.lit(SEED_SYMBOL).alias("points"))
-    each = materialize(tokens.unionByName(symbols).groupBy("query", "needle").agg(F.sum("points").alias("points")), "test-needles")
+    first = None if primary is None else materialize(primary.where("symbol <> ''").select("query", "symbol").distinct(), "primary-symbols")
+    named = symbols_of_seeds(asked, manifest)
+    if first is not None:
+        named = named.join(first, ["query", "symbol"], "left_anti")
+    tokens = asked.select("query", F.explode(X.significant(X.tokens(F.col("query")))).alias("needle"), F.lit(QUERY_TOKEN).alias("tokens"), F.lit(0).alias("symbols"))
+    symbols = named.select("query", F.lower("symbol").alias("needle"), F.lit(0).alias("tokens"), F.lit(SEED_SYMBOL).alias("symbols"))
+    each = materialize(tokens.unionByName(symbols).groupBy("query", "needle").agg(F.sum("tokens").alias("tokens"), F.sum("symbols").alias("symbols")), "test-needles")
     held = containing(each, "needle", where, "run").join(where, "run").select("needle", "test_id", "path").distinct()
-    rows = each.join(held, "needle").groupBy("query", "test_id", "path").agg(F.sum("points").alias("score"))
-    order = Window.partitionBy("query").orderBy(F.col("score").desc(), F.coalesce("path", F.lit("")), "test_id")
-    return rows.withColumn("test_rank", F.row_number().over(order)).where(F.col("test_rank") <= limit).select("query", "test_rank", "test_id", "score")
+    rows = each.join(held, "needle").groupBy("query", "test_id", "path").agg(F.sum("tokens").alias("tokens"), F.sum("symbols").alias("symbols"), F.lit(0).cast("bigint").alias("stem"))
+    if first is not None:
+        best = first.join(stems_held(first.select("symbol").distinct(), where), "symbol").groupBy("query", "test_id", "path").agg(F.max("score").alias("stem"))
+        both = rows.unionByName(best.select("query", "test_id", "path", F.lit(0).cast("bigint").alias("tokens"), F.lit(0).cast("bigint").alias("symbols"), "stem"))
+        rows = both.groupBy("query", "test_id", "path").agg(F.sum("tokens").alias("tokens"), F.sum("symbols").alias("symbols"), F.max("stem").alias("stem"))
+        if require_primary:
+            must = first.select("query").distinct().withColumn("must", F.lit(True))
+            rows = rows.join(must, "query", "left").where("must is null or stem > 0")
+    kept = rows.where((F.col("stem") > 0) | (F.col("symbols") > 0) | (F.col("tokens") >= least_tokens))
+    return _best_tests(kept.withColumn("score", (F.col("tokens") + F.col("symbols") + F.col("stem")).cast("bigint")), "query", limit)
+
+
+def stems_held(symbols: DataFrame, where: DataFrame) -> DataFrame:
+    """(symbol, test_id, path, score): 12 and the longest shared stem, up to 16 characters, for each test that holds one."""
+    stems = symbols.select("symbol", F.explode(X.symbol_stems(F.col("symbol"))).alias("stem"))
+    hits = containing(stems, "stem", where, "run", gram=5)
+    return stems.join(hits, "stem").join(where, "run").groupBy("symbol", "test_id", "path").agg((F.lit(12) + F.max(F.least(F.length("stem"), F.lit(16)))).cast("bigint").alias("score"))
 
 
-def tests_of_symbols(manifest: DataFrame, chunks: DataFrame, limit: int = 8) -> DataFrame:
-    """(symbol, test_rank, test_id, score): the tests that share the longest stem with each code symbol.
+def _best_tests(rows: DataFrame, by: str, limit: int) -> DataFrame:
+    order = Window.partitionBy(by).orderBy(F.col("score").desc(), F.coalesce("path", F.lit("")), "test_id")
+    return rows.withColumn("test_rank", F.row_number().over(order)).where(F.col("test_rank") <= limit).select(by, "test_rank", "test_id", "score")
+
+
+def tests_of_names(symbols: DataFrame, manifest: DataFrame, chunks: DataFrame, limit: int = 8) -> DataFrame:
+    """(symbol, test_rank, test_id, score): the tests that share the longest stem with each symbol.
 
     A test is searched in its symbol, title, path, keywords and text.
     """
     where = materialize(test_runs(manifest, chunks), "test-runs")
-    stems = manifest.where("kind = 'code_anchor' and symbol <> ''").select("symbol").distinct().select("symbol", F.explode(X.symbol_stems(F.col("symbol"))).alias("stem"))
-    hits = containing(stems, "stem", where, "run", gram=5)
-    longest = stems.join(hits, "stem").join(where, "run").groupBy("symbol", "test_id", "path").agg((F.lit(12) + F.max(F.least(F.length("stem"), F.lit(16)))).cast("bigint").alias("score"))
-    order = Window.partitionBy("symbol").orderBy(F.col("score").desc(), F.coalesce("path", F.lit("")), "test_id")
-    return longest.withColumn("test_rank", F.row_number().over(order)).where(F.col("test_rank") <= limit).select("symbol", "test_rank", "test_id", "score")
+    return _best_tests(stems_held(symbols.where("symbol <> ''").distinct(), where), "symbol", limit)
+
+
+def tests_of_symbols(manifest: DataFrame, chunks: DataFrame, limit: int = 8) -> DataFrame:
+    """(symbol, test_rank, test_id, score): the same for every code symbol."""
+    return tests_of_names(manifest.where("kind = 'code_anchor'").select("symbol"), manifest, chunks, limit)
 
 
 def tested_by(manifest: DataFrame) -> DataFrame:

@@ -113,8 +113,29 @@ def known_gaps(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(X.strings(F.col("known_gap_ids"))).alias("gap_id"), "id", "path", "repo")
 
 
+def chunk_lookup(ids: DataFrame, chunks: DataFrame, manifest: DataFrame, most_chars: int = 8000) -> DataFrame:
+    """(chunk_id, doc_id, path, title, heading, shown, truncated) of the asked chunk ids that exist, each once.
+
+    ``path`` is that of the document named in the id, null if no record bears it; a null text is empty.
+    """
+    asked = parsed_chunk_ids(ids, "chunk_id").select("chunk_id", F.col("doc_id").alias("id")).distinct()
+    paths = manifest.select("id", "path").where("id is not null").groupBy("id").agg(F.min("path").alias("path"))
+    text = F.coalesce("text", F.lit(""))
+    found = asked.join(chunk_rows(chunks), "chunk_id").join(paths, "id", "left")
+    return found.select("chunk_id", "doc_id", "path", "title", "heading", X.truncated(text, F.lit(most_chars)).alias("shown"), (F.length(text) > most_chars).alias("truncated"))
+
+
+def gaps_filtered(gaps: DataFrame, prefix: str | None = None, gap_id: str | None = None) -> DataFrame:
+    """Gaps that begin with a prefix, whatever the case, or are exactly one id, upper-cased."""
+    if prefix and prefix.strip():
+        gaps = gaps.where(F.upper("gap_id").startswith(prefix.strip().upper()))
+    if gap_id and gap_id.strip():
+        gaps = gaps.where(F.col("gap_id") == gap_id.strip().upper())
+    return gaps
+
+
 def gap_documents(docs: DataFrame) -> DataFrame:
-    """(gap_id, document_count, repos)."""
+    """(gap_id, document_count, repos); the documents themselves are the rows of ``known_gaps``."""
     return known_gaps(docs).groupBy("gap_id").agg(F.count("*").alias("document_count"), F.count_distinct("repo").alias("repos"))
 
 

@@ -58,6 +58,13 @@ def query_tests(spark: SparkSession, folder: str) -> DataFrame:
     return L.tests_of_queries(asked, _manifest(spark, folder), table(spark, folder, "chunks"))
 
 
+def impact_tests(spark: SparkSession, folder: str) -> DataFrame:
+    """Tests of the queries as an impact analysis takes them: a query that is a symbol asks for its stems, tokens alone need six points."""
+    asked = table(spark, folder, "search_hits").where("hit_id % 50 = 0").select("query")
+    primary = asked.distinct().select("query", F.trim("query").alias("symbol")).where(F.col("symbol").rlike(X.PASCAL))
+    return L.tests_of_queries(asked, _manifest(spark, folder), table(spark, folder, "chunks"), primary=primary, require_primary=True, least_tokens=6)
+
+
 def tested_by(spark: SparkSession, folder: str) -> DataFrame:
     return L.tested_by(_manifest(spark, folder))
 
@@ -77,7 +84,7 @@ def diff_linked(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "crosslink_tiers": crosslink_tiers, "crosslink_unresolved": crosslink_unresolved, "crosslink_statistics": crosslink_statistics, "crosslink_reverse": crosslink_reverse,
-    "anchor_repo_cap": anchor_repo_cap, "anchors_softcap": anchors_softcap, "related_two_hop": related_two_hop, "related_tests": related_tests, "query_tests": query_tests, "tested_by": tested_by,
+    "anchor_repo_cap": anchor_repo_cap, "anchors_softcap": anchors_softcap, "related_two_hop": related_two_hop, "related_tests": related_tests, "query_tests": query_tests, "impact_tests": impact_tests, "tested_by": tested_by,
     "diff_records": diff_records, "diff_linked": diff_linked,
 }
 
@@ -155,6 +162,23 @@ n as (
     where r.hit_rank <= {L.SEEDS}) where symbol <> ''),
 tm as (select query, id as test_id, path, cast(sum(points) as bigint) as score from n, t where contains(h, needle) group by query, id, path)
 select query, test_rank, test_id, score from (select *, row_number() over (partition by query order by score desc, coalesce(path, ''), test_id) as test_rank from tm) where test_rank <= 8""",
+    "impact_tests": _scored_sql("lower(kind) in (%s)" % ", ".join(repr(k) for k in L.SEED_KINDS)).rstrip() + "," + _TESTS + f""",
+fi as (select query, trim(query) as symbol from q0 where regexp_full_match(trim(query), '[A-Z][a-zA-Z0-9]+')),
+n as (
+  select query, tok as needle, {L.QUERY_TOKEN} * times as tokens, 0 as symbols from qt where length(tok) > 1 and tok not in ({", ".join(repr(w) for w in STOPWORDS)})
+  union all
+  select query, lower(symbol), 0, {L.SEED_SYMBOL} from (
+    select distinct r.query, regexp_replace(s.symbol, '^\\s+|\\s+$', '', 'g') as symbol
+    from ranked r join (select id, symbol from manifest_docs union select id, regexp_extract(a, '#([^#]*)$', 1) from (select id, unnest(code_anchors) as a from manifest_docs) where contains(a, '#')) s on s.id = r.id
+    where r.hit_rank <= {L.SEEDS}) x where symbol <> '' and not exists (select 1 from fi where fi.query = x.query and fi.symbol = x.symbol)),
+pa as (select query, symbol, regexp_extract_all(regexp_replace(symbol, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+') as parts from fi),
+st as (select query, unnest(list_distinct(list_filter(list_transform([symbol] || list_transform(range(2, len(parts) + 1), lambda n: array_to_string(list_slice(parts, 1, n), '')), lambda x: lower(x)), lambda x: length(x) >= 5))) as stem from pa),
+tm as (
+  select query, id as test_id, path, sum(tokens) as tokens, sum(symbols) as symbols, 0 as stem from n, t where contains(h, needle) group by query, id, path
+  union all select query, id, path, 0, 0, 12 + max(least(length(stem), 16)) from st, t where contains(h, stem) group by query, id, path),
+ts as (select query, test_id, path, cast(sum(tokens) + sum(symbols) + max(stem) as bigint) as score from tm group by query, test_id, path
+       having (max(stem) > 0 or query not in (select query from fi)) and (max(stem) > 0 or sum(symbols) > 0 or sum(tokens) >= 6))
+select query, test_rank, test_id, score from (select *, row_number() over (partition by query order by score desc, coalesce(path, ''), test_id) as test_rank from ts) where test_rank <= 8""",
     "tested_by": """
 with c as (select lower(symbol) as needle, max(id) as anchor_id from manifest_docs where kind = 'code_anchor' and symbol <> '' group by lower(symbol)),
 t as (select distinct id as test_id, lower(coalesce(symbol, '') || ' ' || coalesce(path, '')) as h from manifest_docs where kind = 'test_anchor')

@@ -10,6 +10,7 @@ from lodestone.functions.globs import Policy, decided
 from lodestone.operators import extraction as E
 from lodestone.operators import graph as G
 from lodestone.operators import integrity as I
+from lodestone.plans.changes import LINKS_SQL, links_of_records
 from lodestone.storage import materialize
 from lodestone.tables import table
 from lodestone.vocab import KIND_WEIGHT, sql_lookup
@@ -46,16 +47,24 @@ def code_imports(spark: SparkSession, folder: str) -> DataFrame:
     return G.imports(table(spark, folder, "source_files"))
 
 
+def _structure(spark: SparkSession, folder: str) -> DataFrame:
+    return G.structural_edges(table(spark, folder, "source_files"))
+
+
+def _edges(spark: SparkSession, folder: str) -> DataFrame:
+    return G.edges(_manifest(spark, folder), _structure(spark, folder), links_of_records(spark, folder))
+
+
 def graph_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    return G.nodes(_manifest(spark, folder))
+    return G.nodes(_manifest(spark, folder), _structure(spark, folder))
 
 
 def graph_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return G.edges(_manifest(spark, folder))
+    return _edges(spark, folder)
 
 
 def graph_degrees(spark: SparkSession, folder: str) -> DataFrame:
-    return G.degrees(materialize(G.edges(_manifest(spark, folder)), "edges"))
+    return G.degrees(materialize(_edges(spark, folder), "edges"))
 
 
 def structural_edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -144,18 +153,6 @@ docs as (
   from (select distinct id, repo, path, kind, title, symbol, external_id, owner, known_gap_ids, code_anchors, related_contracts from manifest_docs)),
 shown as (select * from docs where kind in ('contract', 'adr', 'known_gaps', 'code_anchor', 'test_anchor'))
 """
-_EDGES = _NODE.rstrip() + """,
-tests as (
-  select distinct anchor_id, test_id from (select lower(symbol) as needle, max(id) as anchor_id from docs where kind = 'code_anchor' and symbol <> '' group by lower(symbol)) c
-  join (select id as test_id, lower(coalesce(symbol, '') || ' ' || coalesce(path, '')) as h from docs where kind = 'test_anchor') t on contains(h, needle)),
-edges as (
-  select node as from_id, repo as to_id, 'belongs_to_service' as type from shown where repo <> ''
-  union select node, owner_node, 'owned_by' from shown where owner_node is not null
-  union select * from (select node, unnest(known_gap_ids) as g, 'mentions_gap' from shown) where g is not null
-  union select a.node, b.node, 'implemented_by' from (select node, unnest(code_anchors) as r from docs) a join docs b on b.id = a.r
-  union select a.node, b.node, 'relates_to' from (select node, unnest(related_contracts) as r from docs) a join docs b on b.external_id = a.r and b.external_id <> ''
-  union select c.node, t.node, 'tested_by' from tests join docs c on c.id = anchor_id join docs t on t.id = test_id)
-"""
 _STRUCTURE = r"""
 f as (select distinct repo, path, text, regexp_extract(text, '(?:public\s+)?(?:abstract\s+)?class\s+(\w+)', 1) as source from source_files where path like '%.java' and text is not null),
 edges as (
@@ -169,6 +166,20 @@ edges as (
                          when regexp_matches(text, '@RequestMapping\s*\(\s*(?:value\s*=\s*)?"[^"]+"') then [''] else [] end) as r from f where contains(text, '@RestController')))
   where source <> '' and not (edge_type = 'imports' and target = source))
 """
+_EDGES = _NODE.rstrip() + "," + LINKS_SQL.rstrip() + "," + _STRUCTURE.replace("f as (", "sf as (").replace("from f", "from sf").replace("edges as (", "structure as (").rstrip() + """,
+tests as (
+  select distinct anchor_id, test_id from (select lower(symbol) as needle, max(id) as anchor_id from docs where kind = 'code_anchor' and symbol <> '' group by lower(symbol)) c
+  join (select id as test_id, lower(coalesce(symbol, '') || ' ' || coalesce(path, '')) as h from docs where kind = 'test_anchor') t on contains(h, needle)),
+edges as (
+  select node as from_id, repo as to_id, 'belongs_to_service' as type from shown where repo <> ''
+  union select node, owner_node, 'owned_by' from shown where owner_node is not null
+  union select * from (select node, unnest(known_gap_ids) as g, 'mentions_gap' from shown) where g is not null
+  union select a.node, b.node, 'implemented_by' from (select node, unnest(code_anchors) as r from docs) a join docs b on b.id = a.r
+  union select a.node, b.node, 'relates_to' from (select node, unnest(related_contracts) as r from docs) a join docs b on b.external_id = a.r and b.external_id <> ''
+  union select c.node, t.node, 'tested_by' from tests join docs c on c.id = anchor_id join docs t on t.id = test_id
+  union select source, target, edge_type from structure where target <> ''
+  union select source, target, link_type from elinks where source <> '' and target <> '')
+"""
 _POLICY = r"""
 p as (select distinct repo, regexp_replace(replace(path, '\', '/'), '^[./]+', '') as path from path_decisions),
 i as (select *, case when regexp_matches(path, '(?s)^src/.*$') then 'src/**' when regexp_matches(path, '(?s)^internal/.*$') then 'internal/**' when regexp_matches(path, '(?s)^docs/.*$') then 'docs/**' when regexp_matches(path, '(?s)^web/.*$') then 'web/**' end as inc,
@@ -218,12 +229,13 @@ select distinct repo, path, target from (
   union all
   select repo, path, list_extract(string_split(m, '/'), -1) from (select repo, path, unnest(regexp_extract_all(text, '(?m)^import\s+[^''"\n]*[''"]([^''"\n]+)[''"]', 1)) as m from f))
 where target <> ''""",
-    "graph_nodes": "with " + _NODE + """
+    "graph_nodes": "with " + _NODE.rstrip() + "," + _STRUCTURE + """
 , a as (
   select 0 as o, node as id, kind as type, coalesce(nullif(title, ''), nullif(symbol, ''), node) as label from shown
   union all select 1, repo, 'service', repo from shown where repo <> ''
   union all select 2, owner_node, 'owner', coalesce(nullif(owner.team, ''), owner_node) from shown where owner_node is not null
-  union all select 3, g, 'known_gap', g from (select unnest(known_gap_ids) as g from shown) where g <> '')
+  union all select 3, g, 'known_gap', g from (select unnest(known_gap_ids) as g from shown) where g <> ''
+  union all select 4, e, 'structural', e from (select source as e from edges union select target from edges) where e <> '')
 select id, type, label from a qualify row_number() over (partition by id order by o, type, label) = 1""",
     "graph_edges": "with " + _EDGES + "select from_id, to_id, type from edges",
     "graph_degrees": "with " + _EDGES + """
