@@ -115,9 +115,11 @@ def beginnings(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), F.length(text)), lambda n: F.left(text, n))).otherwise(F.array().cast("array<string>"))
 
 
-def curated_keywords(whole: list[Column], split: list[Column], most: int = 30) -> Column:
-    """Whole values, then the alphanumeric parts of others: lower-cased, two characters or more, first occurrences."""
-    parts = F.concat(F.array(*(F.lower(F.trim(F.coalesce(w, F.lit("")))) for w in whole)), *(F.transform(F.split(F.coalesce(s, F.lit("")), r"[^a-zA-Z0-9]+"), F.lower) for s in split))
+def curated_keywords(whole: list[Column], split: list[Column], then: list[Column] | None = None, lists: list[Column] | None = None, most: int = 30) -> Column:
+    """Whole values, the alphanumeric parts of others, then more whole values and the parts of lists: lower-cased, two characters or more, first occurrences."""
+    one = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    cut = lambda c: F.transform(F.split(F.coalesce(c, F.lit("")), r"[^a-zA-Z0-9]+"), F.lower)
+    parts = F.concat(F.array(*map(one, whole)), *map(cut, split), *(F.array(one(c)) for c in then or []), *(F.flatten(F.transform(strings(c), cut)) for c in lists or []))
     return F.slice(F.array_distinct(F.filter(parts, lambda p: F.length(p) >= 2)), 1, most)
 
 

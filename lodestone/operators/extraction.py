@@ -110,3 +110,25 @@ def inline_links(documents: DataFrame) -> DataFrame:
     found = documents.select("doc_id", F.explode(F.regexp_extract_all(bare, F.lit(r"(?<!!)\[[^\]\n]+\]\(([^)\n]+)\)"), F.lit(1))).alias("target")).distinct()
     kind = F.when(F.col("target").rlike(r"^([a-zA-Z][a-zA-Z0-9+.-]*:|//)"), "external").when(F.col("target").startswith("#"), "anchor").otherwise("local")
     return found.withColumn("link_class", kind)
+
+
+def resolved_links(links: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo, path, target, link_class) of inline links (repo, path, target) against the files (repo, path) that exist.
+
+    Classes: skip_external, skip_anchor, ok, repo_not_there (the target leaves its repository for
+    one without files) and target_not_found.  A target is taken from its file's folder, one with a
+    leading slash from the repository's; fragments and queries are left out, folders count as files.
+    """
+    plain = F.regexp_replace(F.url_decode(F.regexp_replace("target", r"\\+", "%2B")), r"[?#].*$", "")
+    start = F.when(plain.startswith("/"), F.array("repo")).otherwise(F.concat(F.array("repo"), F.filter(F.split("path", "/"), lambda p: p != ""), F.array().cast("array<string>")))
+    folder = F.when(plain.startswith("/"), start).otherwise(F.slice(start, F.lit(1), F.size(start) - 1))
+    step = lambda done, part: F.when(part.isin("", "."), done).when(part == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(part)))
+    whole = F.array_join(F.aggregate(F.split(plain, "/"), folder, step), "/")
+    kind = F.when(F.col("target").rlike(r"^([a-zA-Z][a-zA-Z0-9+.-]*:|//)"), "skip_external").when(F.col("target").startswith("#"), "skip_anchor")
+    rows = links.select("repo", "path", "target").distinct().withColumn("_k", kind).withColumn("_at", F.when(F.col("_k").isNull(), whole)).withColumn("_r", F.substring_index("_at", "/", 1))
+    parts = F.split(F.concat("repo", F.lit("/"), "path"), "/")
+    there = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("_at")).distinct().withColumn("_there", F.lit(True))
+    repos = files.select(F.col("repo").alias("_r")).distinct().withColumn("_cloned", F.lit(True))
+    judged = rows.join(there, "_at", "left").join(repos, "_r", "left")
+    found = F.coalesce("_k", F.when(F.col("_there"), "ok").when(F.col("_cloned").isNull(), "repo_not_there").otherwise("target_not_found"))
+    return judged.select("repo", "path", "target", found.alias("link_class"))

@@ -97,6 +97,47 @@ def index_status(manifest: DataFrame, chunks: DataFrame, max_age_hours: float =
     return per_repo.select("repo", "records", "code_anchors", "test_anchors", "without_chunks", "gap_mentions", hours.alias("age_hours"), ((F.col("without_chunks") > 0) | (hours > max_age_hours)).alias("rebuild"))
 
 
+def workspace_status(manifest: DataFrame, chunks: DataFrame, hits: DataFrame, stats: DataFrame) -> DataFrame:
+    """(metric, value): counts over all records, chunks, hits and the newest build of each repository."""
+    docs = manifest.select("id", "repo", "kind", "owner", "symbol", "known_gap_ids", "code_anchors", "related_doc_ids", "trust_level", "removed_at", "indexed_at").distinct()
+    kind, some = F.col("kind"), lambda c: F.size(X.strings(F.col(c))) > 0
+    of_docs = docs.agg(
+        F.count("*").alias("records"), F.count("removed_at").alias("removed"), F.count_if(~kind.isin("code_anchor", "test_anchor", "openapi_spec")).alias("documents"),
+        F.count_if(kind == "code_anchor").alias("code_anchors"), F.count_if(kind == "test_anchor").alias("test_anchors"), F.count_if(kind == "openapi_spec").alias("openapi_specs"),
+        F.count_if(kind == "contract").alias("contracts"), F.count_if(kind == "adr").alias("decisions"), F.count_distinct("repo").alias("repos"), F.count("owner").alias("owned"),
+        F.count_if(F.col("trust_level").isin("confirmed", "accepted", "implementation")).alias("trusted"), F.count_if((kind == "contract") & some("code_anchors")).alias("contracts_with_anchors"),
+        F.count_if((kind == "code_anchor") & some("related_doc_ids")).alias("anchors_with_documents"), F.coalesce(F.sum(F.size(X.strings(F.col("known_gap_ids")))), F.lit(0)).alias("gap_mentions"),
+    )
+    gaps = docs.select(F.explode("known_gap_ids").alias("g")).agg(F.count_distinct("g").alias("gaps"))
+    symbols = docs.where("kind = 'code_anchor'").agg(F.count_distinct("symbol").alias("symbols"))
+    each = chunks.select("chunk_id", "doc_id", "text").where("chunk_id is not null").distinct()
+    of_chunks = each.agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("chunked_documents"), F.count_if(F.coalesce("text", F.lit("")) == "").alias("empty_chunks"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chunk_characters"))
+    of_hits = hits.select("hit_id", "stale", "chunks_missing").distinct().agg(F.count("*").alias("hits"), F.count_if("stale").alias("stale_hits"), F.count_if("chunks_missing").alias("hits_without_chunks"))
+    builds = stats.select("build_id", "repo", "built_at", "unresolved_symbols", "contract_symbols_unresolved_total").distinct()
+    newest = builds.withColumn("_r", F.row_number().over(Window.partitionBy("repo").orderBy(F.col("built_at").desc_nulls_last(), F.col("build_id").desc_nulls_last()))).where("_r = 1")
+    of_builds = newest.agg(F.coalesce(F.sum("contract_symbols_unresolved_total"), F.lit(0)).alias("unresolved_total"), F.count("*").alias("builds"))
+    lost = newest.select(F.explode("unresolved_symbols").alias("s")).agg(F.count_distinct("s").alias("unresolved_symbols"))
+    one = of_docs.crossJoin(gaps).crossJoin(symbols).crossJoin(of_chunks).crossJoin(of_hits).crossJoin(of_builds).crossJoin(lost)  # one row each
+    metrics = F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("bigint").alias("value")) for c in one.columns)))
+    return one.select(metrics.alias("m")).select("m.metric", "m.value")
+
+
+def domain_phrases(manifest: DataFrame) -> DataFrame:
+    """(id, phrases, n_phrases): the owner's domain and the words of three letters or more of title and external id, sorted and joined by blanks."""
+    docs = manifest.select("id", "owner", "title", "external_id").distinct()
+    named = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("external_id", F.lit(""))))
+    words = F.filter(F.split(named, "[^a-z0-9]+"), lambda w: F.length(w) > 2)
+    each = docs.select("id", F.explode(F.concat(F.array(F.coalesce("owner.domain", F.lit(""))), words)).alias("p")).where("p <> ''").distinct()
+    listed = F.array_sort(F.collect_list("p"))  # words of one record
+    return each.groupBy("id").agg(F.array_join(listed, " ").alias("phrases"), F.count("*").alias("n_phrases"))
+
+
+def reciprocity(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, only_in): values that only one of two tables has; nulls are none."""
+    one, other = (df.select(key).where(F.col(key).isNotNull()).distinct() for df in (left, right))
+    return one.join(other, key, "left_anti").withColumn("only_in", F.lit("left")).unionByName(other.join(one, key, "left_anti").withColumn("only_in", F.lit("right")))
+
+
 def owners(manifest: DataFrame) -> DataFrame:
     """(team, service, domain, contact, records): distinct owners; nulls count as empty."""
     docs = manifest.where("owner is not null").select("id", "owner").distinct()

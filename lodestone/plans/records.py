@@ -11,6 +11,7 @@ from lodestone.operators import extraction as E
 from lodestone.operators import graph as G
 from lodestone.operators import integrity as I
 from lodestone.plans.changes import LINKS_SQL, links_of_records
+from lodestone.sources import collectors as W
 from lodestone.storage import materialize
 from lodestone.tables import table
 from lodestone.vocab import KIND_WEIGHT, sql_lookup
@@ -120,7 +121,34 @@ def policy_counts(spark: SparkSession, folder: str) -> DataFrame:
     return policy_decisions(spark, folder).groupBy("repo", "reason").agg(F.count("*").alias("paths"))
 
 
+def file_explanations(spark: SparkSession, folder: str) -> DataFrame:
+    """What the policy decides on each source file and which part of a build takes it."""
+    return W.explained(table(spark, folder, "source_files").select("repo", X.plain_path(F.col("path")).alias("path")), POLICY)
+
+
+def symbol_excerpts(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines from each defined symbol on that its chunk shows."""
+    files = table(spark, folder, "source_files")
+    rows = W.symbol_excerpts(files, G.code_symbols(files))
+    return rows.select("repo", "path", "symbol", "symbol_kind", "line_start", "line_end", F.md5("excerpt").alias("digest"))
+
+
+def domain_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return I.domain_phrases(_manifest(spark, folder))
+
+
+def workspace_status(spark: SparkSession, folder: str) -> DataFrame:
+    return I.workspace_status(_manifest(spark, folder), table(spark, folder, "chunks"), table(spark, folder, "search_hits"), table(spark, folder, "crosslink_stats"))
+
+
+def contract_reciprocity(spark: SparkSession, folder: str) -> DataFrame:
+    """External ids that no record relates to, and related ids that no record bears."""
+    docs = _manifest(spark, folder)
+    return I.reciprocity(docs.where("external_id <> ''").select("external_id"), docs.select(F.explode("related_contracts").alias("external_id")).where("external_id <> ''"), "external_id")
+
+
 QUERIES = {
+    "file_explanations": file_explanations, "symbol_excerpts": symbol_excerpts, "domain_phrases": domain_phrases, "workspace_status": workspace_status, "contract_reciprocity": contract_reciprocity,
     "outlines": outlines, "doc_sections": doc_sections, "packed_chunks": packed_chunks, "inline_links": inline_links, "code_symbols": code_symbols, "code_imports": code_imports,
     "graph_nodes": graph_nodes, "graph_edges": graph_edges, "graph_degrees": graph_degrees, "structural_edges": structural_edges, "orientation": orientation, "class_services": class_services, "path_history": path_history, "lint_violations": lint_violations,
     "build_changes": build_changes, "kind_counts": kind_counts, "index_status": index_status, "owners": owners, "services": services, "trust_differences": trust_differences,
@@ -193,7 +221,59 @@ _CLASS, _NESTED = r"^(?:export\s+)?(?:default\s+)?" + _MODIFIERS + r"([A-Z]\w*)"
 _TYPE, _FUNC, _EXPORT = r"^type\s+([A-Z]\w*)\s+(?:struct|interface)\b", r"^func\s+([A-Z]\w*)\s*\(", r"\bexport\s+(?:async\s+)?(?:function|const|type)\s+([A-Za-z]\w*)"
 _EXPORTED_TYPE = r"\bexport\s+(?:default\s+)?" + _MODIFIERS + r"([A-Za-z]\w*)"
 
+_TAKEN = " ".join(
+    f"when regexp_matches(path, '{pattern.replace('(?!(?:' + W._SKIP_BESIDE + ')/)', '').replace(chr(39), chr(39) * 2)}')"
+    + (f" and not regexp_matches(path, '{left}')" if left else "") + (f" and not regexp_matches(path, '^({W._SKIP_BESIDE})/')" if name == "script" else "")
+    + (" and len(list_filter([" + ", ".join(repr(h) for h in W.JAVA_HINTS) + "], lambda h: contains(lower('/' || path), h))) > 0" if name == "java" else "") + f" then '{name}'"
+    for name, (pattern, left) in W.RULES.items()
+)
+_SYMBOLS = rf"""
+f as (select distinct repo, path, text, coalesce(lower(nullif(language, '')), case when regexp_matches(path, '(?i)\.(java|kts?)$') then 'java' when regexp_matches(path, '(?i)\.[cm]?[jt]sx?$') then 'typescript' else '' end) as language from source_files where text is not null),
+l as (select repo, path, language in ('java', 'kotlin') as nested, language in ('typescript', 'javascript') as script, unnest(string_split(text, chr(10))) as l, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line from f),
+lead as (
+  select repo, path, line, regexp_extract(l, '{_CLASS}', 2) as symbol, regexp_extract(l, '{_CLASS}', 1) as symbol_kind from l where regexp_matches(l, '{_CLASS}')
+  union all select repo, path, line, regexp_extract(l, '{_NESTED}', 2), regexp_extract(l, '{_NESTED}', 1) from l where nested and regexp_matches(l, '{_NESTED}') and not regexp_matches(l, '{_CLASS}')
+  union all select repo, path, line, regexp_extract(l, '{_TYPE}', 1), 'type' from l where regexp_matches(l, '{_TYPE}')
+  union all select repo, path, line, regexp_extract(l, '{_FUNC}', 1), 'function' from l where regexp_matches(l, '{_FUNC}')
+  union all select repo, path, line, regexp_extract(l, '^{_EXPORT[2:]}', 1), 'export' from l where regexp_matches(l, '^{_EXPORT[2:]}')),
+anywhere as (
+  select repo, path, line, unnest(regexp_extract_all(l, '{_EXPORT}', 1)) as symbol, 'export' as symbol_kind from l where script
+  union all select repo, path, line, unnest(regexp_extract_all(l, '{_EXPORTED_TYPE}', 2)), unnest(regexp_extract_all(l, '{_EXPORTED_TYPE}', 1)) from l where script),
+symbols as (select repo, path, symbol, symbol_kind, line from lead union select repo, path, symbol, symbol_kind, line from anywhere)
+"""
+
 ORACLE = {
+    "file_explanations": "with " + _POLICY.replace("from path_decisions", "from source_files") + f""",
+c as (select repo, path, reason, case {_TAKEN} end as collector from d)
+select repo, path, reason = 'allowed' as allowed, case when reason <> 'allowed' then reason when collector is null then 'no_collector' else 'indexed' end as reason, collector, reason = 'allowed' and collector is not null as indexed from c""",
+    "symbol_excerpts": "with " + _SYMBOLS.rstrip() + r""",
+ls as (select repo, path, unnest(string_split(regexp_replace(text, '\n\z', ''), chr(10))) as t, unnest(range(1, len(string_split(regexp_replace(text, '\n\z', ''), chr(10))) + 1)) as n from (select distinct repo, path, text from source_files where text is not null)),
+ex as (select s.*, ls.t, ls.n, coalesce(sum(strlen(ls.t) + 1) over (partition by s.repo, s.path, s.symbol, s.symbol_kind, s.line order by ls.n rows between unbounded preceding and 1 preceding), 0) as used
+       from symbols s join ls on ls.repo is not distinct from s.repo and ls.path = s.path and ls.n >= s.line)
+select repo, path, symbol, symbol_kind, line as line_start, max(n) as line_end, md5(string_agg(t, chr(10) order by n)) as digest from ex where used < 8192 group by repo, path, symbol, symbol_kind, line""",
+    "domain_phrases": r"""
+with d as (select distinct id, owner, title, external_id from manifest_docs),
+w as (select id, coalesce(owner."domain", '') as p from d union select id, unnest(list_filter(regexp_split_to_array(lower(coalesce(title, '') || ' ' || coalesce(external_id, '')), '[^a-z0-9]+'), lambda x: length(x) > 2)) from d)
+select id, string_agg(distinct p, ' ' order by p) as phrases, count(distinct p) as n_phrases from w where p <> '' group by id""",
+    "workspace_status": """
+with m as (select distinct id, repo, kind, owner, symbol, known_gap_ids, code_anchors, related_doc_ids, trust_level, removed_at, indexed_at from manifest_docs),
+c as (select distinct chunk_id, doc_id, text from chunks where chunk_id is not null), h as (select distinct hit_id, stale, chunks_missing from search_hits),
+b as (select * from (select distinct build_id, repo, built_at, unresolved_symbols, contract_symbols_unresolved_total from crosslink_stats) qualify row_number() over (partition by repo order by built_at desc, build_id desc) = 1),
+v as (
+  select 'records' as metric, count(*) as value from m union all select 'removed', count(removed_at) from m union all select 'documents', count(*) from m where kind not in ('code_anchor', 'test_anchor', 'openapi_spec')
+  union all select 'code_anchors', count(*) from m where kind = 'code_anchor' union all select 'test_anchors', count(*) from m where kind = 'test_anchor' union all select 'openapi_specs', count(*) from m where kind = 'openapi_spec'
+  union all select 'contracts', count(*) from m where kind = 'contract' union all select 'decisions', count(*) from m where kind = 'adr' union all select 'repos', count(distinct repo) from m union all select 'owned', count(owner) from m
+  union all select 'trusted', count(*) from m where trust_level in ('confirmed', 'accepted', 'implementation') union all select 'contracts_with_anchors', count(*) from m where kind = 'contract' and len(list_filter(code_anchors, lambda x: x is not null)) > 0
+  union all select 'anchors_with_documents', count(*) from m where kind = 'code_anchor' and len(list_filter(related_doc_ids, lambda x: x is not null)) > 0 union all select 'gap_mentions', coalesce(sum(len(list_filter(known_gap_ids, lambda x: x is not null))), 0) from m
+  union all select 'gaps', count(distinct g) from (select unnest(known_gap_ids) as g from m) union all select 'symbols', count(distinct symbol) from m where kind = 'code_anchor'
+  union all select 'chunks', count(*) from c union all select 'chunked_documents', count(distinct doc_id) from c union all select 'empty_chunks', count(*) from c where coalesce(text, '') = '' union all select 'chunk_characters', coalesce(sum(length(text)), 0) from c
+  union all select 'hits', count(*) from h union all select 'stale_hits', count(*) from h where stale union all select 'hits_without_chunks', count(*) from h where chunks_missing
+  union all select 'unresolved_total', coalesce(sum(contract_symbols_unresolved_total), 0) from b union all select 'unresolved_symbols', count(distinct s) from (select unnest(unresolved_symbols) as s from b)
+  union all select 'builds', count(*) from b)
+select metric, cast(value as bigint) as value from v""",
+    "contract_reciprocity": """
+with a as (select distinct external_id from manifest_docs where external_id <> ''), b as (select distinct external_id from (select unnest(related_contracts) as external_id from manifest_docs) where external_id <> '')
+select external_id, 'left' as only_in from a where external_id not in (select external_id from b) union all select external_id, 'right' from b where external_id not in (select external_id from a)""",
     "outlines": "with " + _BODY + rf"""
 , h as (select *, coalesce(nullif(trim(regexp_extract(body, '(?m)^#[ \t]+(\S.*)$', 1)), ''), title, '') as name from b)
 select doc_id, name as title,
@@ -209,19 +289,7 @@ from h""",
 with t as (select doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '(?ms)^[ \t]*(?:```|~~~).*?(?:^[ \t]*(?:```|~~~)[^\n]*$|\z)', '', 'g'), '`[^`\n]*`', ' ', 'g') as b from documents),
 l as (select distinct doc_id, target from (select doc_id, unnest(regexp_extract_all(b, '(?:^|[^!])\[[^\]\n]+\]\(([^)\n]+)\)', 1)) as target from t))
 select doc_id, target, case when regexp_matches(target, '^([a-zA-Z][a-zA-Z0-9+.-]*:|//)') then 'external' when starts_with(target, '#') then 'anchor' else 'local' end as link_class from l""",
-    "code_symbols": rf"""
-with f as (select distinct repo, path, text, coalesce(lower(nullif(language, '')), case when regexp_matches(path, '(?i)\.(java|kts?)$') then 'java' when regexp_matches(path, '(?i)\.[cm]?[jt]sx?$') then 'typescript' else '' end) as language from source_files where text is not null),
-l as (select repo, path, language in ('java', 'kotlin') as nested, language in ('typescript', 'javascript') as script, unnest(string_split(text, chr(10))) as l, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line from f),
-lead as (
-  select repo, path, line, regexp_extract(l, '{_CLASS}', 2) as symbol, regexp_extract(l, '{_CLASS}', 1) as symbol_kind from l where regexp_matches(l, '{_CLASS}')
-  union all select repo, path, line, regexp_extract(l, '{_NESTED}', 2), regexp_extract(l, '{_NESTED}', 1) from l where nested and regexp_matches(l, '{_NESTED}') and not regexp_matches(l, '{_CLASS}')
-  union all select repo, path, line, regexp_extract(l, '{_TYPE}', 1), 'type' from l where regexp_matches(l, '{_TYPE}')
-  union all select repo, path, line, regexp_extract(l, '{_FUNC}', 1), 'function' from l where regexp_matches(l, '{_FUNC}')
-  union all select repo, path, line, regexp_extract(l, '^{_EXPORT[2:]}', 1), 'export' from l where regexp_matches(l, '^{_EXPORT[2:]}')),
-anywhere as (
-  select repo, path, line, unnest(regexp_extract_all(l, '{_EXPORT}', 1)) as symbol, 'export' as symbol_kind from l where script
-  union all select repo, path, line, unnest(regexp_extract_all(l, '{_EXPORTED_TYPE}', 2)), unnest(regexp_extract_all(l, '{_EXPORTED_TYPE}', 1)) from l where script)
-select repo, path, symbol, symbol_kind, line from lead union select repo, path, symbol, symbol_kind, line from anywhere""",
+    "code_symbols": "with " + _SYMBOLS + "select repo, path, symbol, symbol_kind, line from symbols",
     "code_imports": r"""
 with f as (select distinct repo, path, text from source_files where text is not null)
 select distinct repo, path, target from (
