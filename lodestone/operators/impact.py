@@ -14,10 +14,8 @@ IMPACT_KINDS = ["contract", "integrations", "architecture", "adr", "known_gaps",
 HITS, RELATED = 5, 3
 
 
-def query_signals(docs: DataFrame, queries: DataFrame) -> DataFrame:
+def query_signals(docs: DataFrame, parsed: DataFrame, matches: DataFrame) -> DataFrame:
     """(query, signals, median): weights of a query's significant tokens over all records, and their upper median."""
-    docs, parsed = S.numbered(docs, "records"), S.numbered(S.parsed_queries(queries), "queries")
-    matches = materialize(S.token_matches(docs, parsed.select(F.explode("tokens").alias("token")).distinct()), "token-matches")
     rows = S.token_weights(docs, parsed, matches).where(F.size(X.significant(F.array("token"))) > 0).join(parsed.select(F.col("n").alias("q"), "query"), "q")
     each = rows.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("weight", "token"))).alias("signals"))  # tokens of one query
     return each.withColumn("median", F.element_at("signals", (F.floor(F.size("signals") / 2) + 1).cast("int"))["weight"])
@@ -30,8 +28,11 @@ def impact_records(docs: DataFrame, manifest: DataFrame, queries: DataFrame, hit
     hop 2 any significant token; queries without such tokens gate nothing.  Parents of hop 2 go by
     how many strong tokens they hold.  At most ``related`` records are added; none comes twice.
     """
-    seeds = materialize(S.seeds(S.search(S.restricted(docs, kinds=IMPACT_KINDS), queries, hits)), "seeds")
-    signals = materialize(query_signals(docs, queries), "signals")
+    docs, parsed = S.numbered(docs, "records"), S.numbered(S.parsed_queries(queries), "queries")
+    matches = S.matched(docs, parsed)  # of all records; the seeds' kinds are a part of them
+    kinds = S.restricted(docs, kinds=IMPACT_KINDS)
+    seeds = materialize(S.seeds(S.best(kinds, parsed, matches.join(kinds.select("n"), "n", "left_semi"), hits)), "seeds")
+    signals = materialize(query_signals(docs, parsed, matches), "signals")
     links = manifest.select("id", "external_id", "related_contracts").distinct()
     bearer = links.where("external_id <> ''").groupBy("external_id").agg(F.max("id").alias("rid"))
     steps = links.select("id", F.posexplode("related_contracts").alias("pos", "external_id")).join(bearer, "external_id").select(F.col("id").alias("parent"), "pos", "rid")

@@ -35,11 +35,13 @@ def crosslinks(named: DataFrame, manifest: DataFrame) -> DataFrame:
     """
     anchors = manifest.where("kind = 'code_anchor' and symbol <> '' and repo <> ''").select(F.col("id").alias("anchor_id"), F.col("repo").alias("a_repo"), F.col("symbol").alias("a_symbol")).distinct()
     spelled = named.select("id", "repo", "symbol", F.explode(F.when(F.col("symbol").endswith("Service"), F.array(F.col("symbol"), F.concat("symbol", F.lit("Impl")))).otherwise(F.array("symbol"))).alias("a_symbol"))
-    own = F.col("repo") == F.col("a_repo")
-    tier = F.when(own & (F.col("a_symbol") == F.col("symbol")), 1).when(own, 2).otherwise(3)
-    found = spelled.join(anchors, "a_symbol").withColumn("tier", tier)
-    best = found.groupBy("id", "symbol").agg(F.min("tier").alias("tier"))
-    return found.join(best, ["id", "symbol", "tier"]).select("id", "repo", "symbol", "anchor_id", "tier")
+    tier = F.when(F.col("a_symbol") == F.col("symbol"), 1).otherwise(2)
+    own = spelled.join(anchors.withColumnRenamed("a_repo", "repo"), ["a_symbol", "repo"]).withColumn("tier", tier)
+    best = own.groupBy("id", "symbol").agg(F.min("tier").alias("tier"))
+    near = own.join(best, ["id", "symbol", "tier"])
+    # anchors of other repositories are looked up only for mentions without one of their own
+    far = spelled.join(best, ["id", "symbol"], "left_anti").join(anchors, "a_symbol").withColumn("tier", F.lit(3))
+    return near.select("id", "repo", "symbol", "anchor_id", "tier").unionByName(far.select("id", "repo", "symbol", "anchor_id", "tier"))
 
 
 def unresolved(named: DataFrame, manifest: DataFrame) -> DataFrame:

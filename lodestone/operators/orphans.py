@@ -15,11 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.storage import materialize
+
 #: array column of manifest_docs -> space of the keys it names
 MANIFEST_FIELDS = {"code_anchors": "id", "related_doc_ids": "id", "related_contracts": "external_id"}
 
 #: a key of a space as two hashes, 128 bits in all, so that shuffles carry no long names
 PARTS = ["k1", "k2"]
+#: share of all orphan references beyond which a key and time is joined by broadcast: at most 1 / share of them, whatever the tables
+HEAVY = 1e-3
 
 
 def spelled(name: Column) -> Column:
@@ -72,15 +76,15 @@ def parents(manifest: DataFrame) -> DataFrame:
 
 
 def merged(references: DataFrame, named: DataFrame) -> DataFrame:
-    """(k1, k2, at, reason) of the referenced keys and times without a living parent."""
+    """(k1, k2, at, reason, n) of the referenced keys and times without a living parent; ``n`` references name them."""
     valid = F.col("ends").isNull() | (F.col("ends") > F.col("begins"))
     steps = F.array(
         F.struct(F.col("begins").alias("at"), valid.cast("int").alias("alive"), F.lit(1).alias("begun")),
         F.struct(F.when(valid, F.col("ends")).alias("at"), F.lit(-1).alias("alive"), F.lit(0).alias("begun")),
     )
-    changes = named.select(*PARTS, F.explode(steps).alias("s")).select(*PARTS, "s.*", F.lit(False).alias("asked")).where("at is not null")
-    asked = references.select(*PARTS, "at", F.lit(0).alias("alive"), F.lit(0).alias("begun"), F.lit(True).alias("asked"))
-    stream = changes.unionByName(asked).groupBy(*PARTS, "at").agg(F.sum("alive").alias("alive"), F.sum("begun").alias("begun"), F.max("asked").alias("asked")).withColumn("day", F.to_date("at"))
+    changes = named.select(*PARTS, F.explode(steps).alias("s")).select(*PARTS, "s.*", F.lit(0).alias("asked")).where("at is not null")
+    asked = references.select(*PARTS, "at", F.lit(0).alias("alive"), F.lit(0).alias("begun"), F.lit(1).alias("asked"))
+    stream = changes.unionByName(asked).groupBy(*PARTS, "at").agg(F.sum("alive").alias("alive"), F.sum("begun").alias("begun"), F.sum("asked").alias("asked")).withColumn("day", F.to_date("at"))
 
     by_day = stream.groupBy(*PARTS, "day").agg(F.sum("alive").alias("day_alive"), F.sum("begun").alias("day_begun"))
     days = Window.partitionBy(*PARTS).orderBy("day")
@@ -99,7 +103,7 @@ def merged(references: DataFrame, named: DataFrame) -> DataFrame:
         (F.sum("begun").over(within) + F.col("begun_before")).alias("now_begun"),
     )
     reason = F.when(F.col("begun_ever") == 0, "missing").when(F.col("now_begun") > 0, "deleted").otherwise("late")
-    return placed.where("asked and now_alive <= 0").select(*PARTS, "at", reason.alias("reason"))
+    return placed.where("asked > 0 and now_alive <= 0").select(*PARTS, "at", reason.alias("reason"), F.col("asked").alias("n"))
 
 
 def orphan_references(manifest: DataFrame, stats: DataFrame) -> DataFrame:
@@ -110,8 +114,12 @@ def orphan_references(manifest: DataFrame, stats: DataFrame) -> DataFrame:
     other than those named are ignored.
     """
     references = manifest_references(manifest).unionByName(stats_references(stats))
-    found = merged(references, parents(manifest)).withColumnsRenamed({c: f"m_{c}" for c in (*PARTS, "at")})
-    orphans = references.join(found, [references[c] == found[f"m_{c}"] for c in (*PARTS, "at")])
+    found = materialize(merged(references, parents(manifest)).withColumnsRenamed({c: f"m_{c}" for c in (*PARTS, "at")}), "orphan-keys")
+    limit = HEAVY * (found.agg(F.sum("n")).first()[0] or 0)
+    same = lambda keys: [references[c] == keys[f"m_{c}"] for c in (*PARTS, "at")]
+    # a missing key that a large share of all records of one build names isn't gathered in one task
+    heavy, light = F.broadcast(found.where(F.col("n") > limit)), found.where(F.col("n") <= limit)
+    orphans = references.join(light, same(light)).unionByName(references.join(heavy, same(heavy)))
     return orphans.select("ref_table", F.date_format("at", "yyyy-MM").alias("period"), "ref_field", "ref_key", "target_key", "reason").distinct()
 
 

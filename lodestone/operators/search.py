@@ -132,13 +132,16 @@ def exact_points(docs: DataFrame, parsed: DataFrame) -> DataFrame:
     return equal.unionByName(implementing).unionByName(listed)
 
 
-def scored(docs: DataFrame, parsed: DataFrame) -> DataFrame:
+def matched(docs: DataFrame, parsed: DataFrame) -> DataFrame:
+    """``token_matches`` of numbered records and the tokens of numbered queries, as a written table."""
+    return materialize(token_matches(docs, parsed.select(F.explode("tokens").alias("token")).distinct()), "token-matches")
+
+
+def scored(docs: DataFrame, parsed: DataFrame, matches: DataFrame) -> DataFrame:
     """(q, n, score) of all records that a query matches; both sides numbered.
 
     All contributions of a query and a record meet in one aggregation over two numbers.
     """
-    needles = parsed.select(F.explode("tokens").alias("token")).distinct()
-    matches = materialize(token_matches(docs, needles), "token-matches")
     weights = token_weights(docs, parsed, matches).select("q", "token", F.col("times").cast("int").alias("times"), "weight")
     part = F.when(F.col("points") > 0, F.greatest(F.lit(1), F.bround(F.col("points") * F.col("weight")).cast("int"))).otherwise(0)
     by_token = weights.join(matches, "token").select("q", "n", (part * F.col("times")).alias("part"), F.when(F.col("in_title"), F.col("times")).otherwise(0).alias("titled"), "names_repo", "base")
@@ -155,7 +158,12 @@ def search(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     kept until their paths decide, so only few rows per query meet the records' columns.
     """
     docs, parsed = numbered(docs, "records"), numbered(parsed_queries(queries), "queries")
-    near = scored(docs, parsed).withColumn("_r", F.rank().over(Window.partitionBy("q").orderBy(F.col("score").desc()))).where(F.col("_r") <= limit)
+    return best(docs, parsed, matched(docs, parsed), limit)
+
+
+def best(docs: DataFrame, parsed: DataFrame, matches: DataFrame, limit: int) -> DataFrame:
+    """The same for numbered records and queries whose matches are known, so that several searches share them."""
+    near = scored(docs, parsed, matches).withColumn("_r", F.rank().over(Window.partitionBy("q").orderBy(F.col("score").desc()))).where(F.col("_r") <= limit)
     named = near.join(docs.select("n", "id", "repo", "path", "kind"), "n").join(parsed.select(F.col("n").alias("q"), "query"), "q")
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), F.coalesce(F.col("path"), F.lit("")), "id")
     return named.withColumn("hit_rank", F.row_number().over(order)).where(F.col("hit_rank") <= limit).select("query", "hit_rank", "id", "repo", "path", "kind", "score")

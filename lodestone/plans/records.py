@@ -285,6 +285,19 @@ select doc_id, name as title,
        nullif(trim(regexp_extract(block, '(?m)^id[ \t]*:(.*)$', 1)), '') as external_id, nullif(trim(regexp_extract(block, '(?m)^status[ \t]*:(.*)$', 1)), '') as status
 from h""",
     "doc_sections": "with " + _SECTIONS + "select doc_id, section_no, heading, length(section) as chars from sections",
+    "packed_chunks": "with recursive " + _SECTIONS.rstrip() + r""",
+pg as (select doc_id, section_no, section, unnest(pars) as p, unnest(range(1, len(pars) + 1)) as i from (
+  select doc_id, section_no, section, list_filter(list_transform(string_split(section, chr(10) || chr(10)), lambda x: regexp_replace(regexp_replace(x, '\\A\\s+', ''), '\\s+\\z', '')), lambda x: x <> '') as pars
+  from sections where strlen(section) > 2048)),
+walk as (
+  select doc_id, section_no, i, 0 as part_no, strlen(p) as n from pg where i = 1
+  union all
+  select pg.doc_id, pg.section_no, pg.i, case when w.n + strlen(pg.p) + 2 <= 2048 then w.part_no else w.part_no + 1 end, case when w.n + strlen(pg.p) + 2 <= 2048 then w.n + strlen(pg.p) + 2 else strlen(pg.p) end
+  from walk w join pg on pg.doc_id = w.doc_id and pg.section_no = w.section_no and pg.i = w.i + 1),
+ch as (
+  select doc_id, section_no, part_no, string_agg(p, chr(10) || chr(10) order by i) as chunk from walk join pg using (doc_id, section_no, i) group by doc_id, section_no, part_no
+  union all select doc_id, section_no, 0, section from sections where strlen(section) <= 2048)
+select doc_id, section_no, part_no, strlen(chunk) as n_bytes, md5(chunk) as digest from ch""",
     "inline_links": r"""
 with t as (select doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '(?ms)^[ \t]*(?:```|~~~).*?(?:^[ \t]*(?:```|~~~)[^\n]*$|\z)', '', 'g'), '`[^`\n]*`', ' ', 'g') as b from documents),
 l as (select distinct doc_id, target from (select doc_id, unnest(regexp_extract_all(b, '(?:^|[^!])\[[^\]\n]+\]\(([^)\n]+)\)', 1)) as target from t))

@@ -13,8 +13,8 @@ from lodestone.tables import table
 from lodestone.vocab import ANCHOR_PRIORITY, sql_lookup
 
 
-def _top(spark: SparkSession, folder: str) -> DataFrame:
-    return materialize(_hits(spark, folder), "hits")
+def _top(spark: SparkSession, folder: str, limit: int = 10) -> DataFrame:
+    return materialize(_hits(spark, folder, limit=limit), "hits")
 
 
 def chunk_best(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,7 +22,7 @@ def chunk_best(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fetch_hits(spark: SparkSession, folder: str) -> DataFrame:
-    rows = R.fetched(_top(spark, folder), table(spark, folder, "manifest_docs"), table(spark, folder, "chunks"))
+    rows = R.fetched(_top(spark, folder, limit=3), table(spark, folder, "manifest_docs"), table(spark, folder, "chunks"))
     return rows.select("query", "hit_rank", "part", "chunk_id", F.length("shown").cast("bigint").alias("chars"), "was_cut", F.md5("shown").alias("digest"))
 
 

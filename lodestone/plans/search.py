@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as X
 from lodestone.operators import impact as M
 from lodestone.operators import search as S
-from lodestone.storage import materialize
 from lodestone.tables import table
 from lodestone.vocab import CONTEXT_KINDS, CONTRACT_KINDS, STOPWORDS, TRUST_RANK, sql_lookup
 
@@ -45,8 +44,7 @@ def search_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 def token_weights(spark: SparkSession, folder: str) -> DataFrame:
     docs, parsed = S.numbered(docs_of(spark, folder), "records"), S.numbered(S.parsed_queries(asked(spark, folder)), "queries")
-    matches = materialize(S.token_matches(docs, parsed.select(F.explode("tokens").alias("token")).distinct()), "token-matches")
-    rows = S.token_weights(docs, parsed, matches).join(parsed.select(F.col("n").alias("q"), "query"), "q")
+    rows = S.token_weights(docs, parsed, S.matched(docs, parsed)).join(parsed.select(F.col("n").alias("q"), "query"), "q")
     return rows.select("query", "token", F.col("times").cast("bigint").alias("times"), F.col("df").cast("bigint").alias("df"), F.round("weight", 6).alias("weight"))
 
 
