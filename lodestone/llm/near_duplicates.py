@@ -33,6 +33,8 @@ BUCKET = 200
 HEAVY = 1e-4
 #: counters of the frequency sketch that orders elements by rarity (4 MB, whatever the corpus)
 COUNTERS = 1 << 20
+#: rows with signatures that one task joins
+TASK_ROWS = 500_000
 #: widths of the bands of a + b
 FIRST_BAND = 9
 
@@ -154,8 +156,9 @@ def with_rarest(sets: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInPandas(emit, "set_id bigint, rarest array<bigint>")
 
 
-def _pairs(bucketed: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of sets with a common ``sig`` that their sizes and sketches do not refute."""
+def _pairs(bucketed: DataFrame, threshold: float, rows: int) -> DataFrame:
+    """Pairs of sets with a common ``sig`` that their sizes and sketches do not refute; tasks grow in number with ``rows``, not in size."""
+    bucketed = bucketed.repartition(max(1, math.ceil(rows / TASK_ROWS)), "sig")
     a, b = bucketed.alias("a"), bucketed.alias("b")
     size_a, size_b = F.col("a.size"), F.col("b.size")
     near = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= (size_a + size_b) * ((1 - threshold) / (1 + threshold)) + 1e-9
@@ -175,10 +178,13 @@ def similar_sets(sets: DataFrame, threshold: float, bucket: int = BUCKET) -> Dat
     # a signature that very many sets bear isn't gathered in one task
     heavy = F.broadcast(counts.where(F.col("n") > limit))
     borne = materialize(signed.join(counts.where(F.col("n") <= limit), "sig").unionByName(signed.join(heavy, "sig")), "shared-signatures")
-    small = _pairs(borne.where(F.col("n") <= bucket), threshold)
+    few, many = F.col("n") <= bucket, F.col("n") > bucket
+    rarest = F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1
+    expected = borne.agg(F.count_if(few).alias("small"), F.sum(F.when(many, rarest)).alias("large")).first()
+    small = _pairs(borne.where(few), threshold, expected["small"])
     rare = with_rarest(sets, threshold)
-    split = borne.where(F.col("n") > bucket).join(rare, "set_id").select(F.explode("rarest").alias("e"), "sig", "set_id", "bits", "size").select(F.xxhash64("sig", "e").alias("sig"), "set_id", "bits", "size")
-    large = _pairs(split, threshold)
+    split = borne.where(many).join(rare, "set_id").select(F.explode("rarest").alias("e"), "sig", "set_id", "bits", "size").select(F.xxhash64("sig", "e").alias("sig"), "set_id", "bits", "size")
+    large = _pairs(split, threshold, expected["large"] or 0)
     candidates = small.unionByName(large).distinct()
     left = sets.select(F.col("set_id").alias("set_a"), F.col("elements").alias("_ea"))
     right = sets.select(F.col("set_id").alias("set_b"), F.col("elements").alias("_eb"))
