@@ -17,12 +17,20 @@ def grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.when(F.length(text) >= n, many).otherwise(F.array().cast("array<string>")))
 
 
+#: needles up to which they are broadcast to the runs (some 10 MB); more are joined by shuffling both sides
+FEW_NEEDLES = 200_000
+
+
 def containing(needles: DataFrame, needle: str, runs: DataFrame, run: str, gram: int = 3) -> DataFrame:
     """(needle, run): the distinct runs that contain each needle.
 
-    Needles shorter than ``gram`` are keyed by all they have.  Null and empty needles match nothing.
+    Needles shorter than ``gram`` are keyed by all they have; runs give grams of those lengths only
+    where such needles exist.  Null and empty needles match nothing.
     """
     left = needles.select(needle).where(F.length(needle) > 0).distinct().withColumn("_k", F.substring(F.col(needle), 1, gram))
-    keys = F.flatten(F.array(*(grams(F.col(run), n) for n in range(1, gram + 1))))
+    sizes = left.groupBy(F.length("_k").alias("n")).count().collect()  # at most ``gram`` rows
+    if sum(row["count"] for row in sizes) <= FEW_NEEDLES:
+        left = F.broadcast(left)
+    keys = F.flatten(F.array(*(grams(F.col(run), row["n"]) for row in sizes))) if sizes else F.array().cast("array<string>")
     right = runs.select(run).where(F.length(run) > 0).distinct().select(run, F.explode(keys).alias("_k"))
     return left.join(right, "_k").where(F.contains(F.col(run), F.col(needle))).select(needle, run)
