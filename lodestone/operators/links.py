@@ -72,6 +72,12 @@ def capped_anchors(manifest: DataFrame, cap: int = ANCHORS_PER_REPO) -> DataFram
     return anchors.withColumn("keep_rank", F.row_number().over(order)).where(F.col("keep_rank") <= cap).select("repo", "keep_rank", "id")
 
 
+def cap_report(manifest: DataFrame, cap: int = ANCHORS_PER_REPO) -> DataFrame:
+    """(repo, total, kept, dropped): anchors of each repository under the cap of ``capped_anchors``."""
+    anchors = manifest.where(F.col("kind").isin("code_anchor", "test_anchor")).select("id", "repo").distinct()
+    return anchors.groupBy("repo").agg(F.count("*").alias("total"), F.least(F.count("*"), F.lit(cap)).alias("kept"), F.greatest(F.count("*") - cap, F.lit(0)).alias("dropped"))
+
+
 def softly_capped(manifest: DataFrame, limit: int = 12) -> DataFrame:
     """(id, place, anchor_id): anchors of each record, few of the plain types, ``limit`` in all."""
     docs = manifest.select("id", "kind", "symbol", "path", "anchor_type", "code_anchors").distinct()

@@ -108,6 +108,12 @@ def snippets(chunks: DataFrame) -> DataFrame:
     return chunk_rows(chunks).withColumn("_r", F.row_number().over(first)).where("_r = 1").select("doc_id", X.snippet(F.col("text")).alias("snippet"))
 
 
+def snippets_of_hits(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query, id, hit_rank, chunk_id, snippet) from the best chunk of each hit; a hit without chunks has none."""
+    best = best_chunks(hits, chunks, 1).join(hits.select("query", "id", "hit_rank"), ["query", "id"])
+    return best.join(chunk_rows(chunks).select("chunk_id", "text"), "chunk_id").select("query", "id", "hit_rank", "chunk_id", X.snippet(F.col("text")).alias("snippet"))
+
+
 def known_gaps(docs: DataFrame) -> DataFrame:
     """(gap_id, id, path, repo) of every listed gap, each record once per mention list entry."""
     return docs.select(F.explode(X.strings(F.col("known_gap_ids"))).alias("gap_id"), "id", "path", "repo")

@@ -53,6 +53,14 @@ def parsed_queries(queries: DataFrame, query: str = "query") -> DataFrame:
     ).where("size(tokens) > 0 or gap_exact <> ''")
 
 
+def explicit_queries(values: DataFrame, column: str, what: str) -> DataFrame:
+    """Queries for a ``gap`` id, upper-cased, or a ``symbol`` alone, in the form of ``parsed_queries``; named "gap ..." or "symbol ..."."""
+    value = F.trim(F.col(column))
+    rows = values.where(value != "").select(F.concat(F.lit(f"{what} "), column).alias("query"), value.alias("v")).distinct()
+    gap, symbol = (F.upper("v"), F.lit(None).cast("string")) if what == "gap" else (F.lit(None).cast("string"), F.col("v"))
+    return rows.select("query", F.array().cast("array<string>").alias("tokens"), gap.alias("gap_exact"), symbol.alias("symbol_exact"))
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` written with a number ``n`` per row: joins on it are narrower than on long ids."""
     return materialize(df.withColumn("n", F.monotonically_increasing_id()), name)
@@ -157,7 +165,12 @@ def search(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     Order is score, path, id; null paths count as empty.  Records that tie with the last place are
     kept until their paths decide, so only few rows per query meet the records' columns.
     """
-    docs, parsed = numbered(docs, "records"), numbered(parsed_queries(queries), "queries")
+    return search_parsed(docs, parsed_queries(queries), limit)
+
+
+def search_parsed(docs: DataFrame, parsed: DataFrame, limit: int = 10) -> DataFrame:
+    """The same for queries in the form of ``parsed_queries``."""
+    docs, parsed = numbered(docs, "records"), numbered(parsed, "queries")
     return best(docs, parsed, matched(docs, parsed), limit)
 
 

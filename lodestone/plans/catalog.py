@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import changes, links, records, references, retrieval, search, streams
+from lodestone.plans import changes, context, links, records, references, retrieval, search, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (references, search, retrieval, links, records, changes, streams)
+MODULES = (references, search, retrieval, links, records, changes, context, streams)
 
 
 def queries() -> dict[str, Query]:

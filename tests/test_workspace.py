@@ -71,6 +71,10 @@ def test_scores_of_the_fixture(spark):
     assert got == {"example application contract": [("contract", 34), ("adr", 20), ("code", 13), ("test", 13)], "ExampleService": [("code", 100), ("contract", 17), ("test", 13)]}
     only = S.search(S.restricted(rows, kinds=["contract"]), queries).where("query like 'example%'").collect()
     assert [(r.id, r.score) for r in only] == [("contract", 28)]
+    gap = S.explicit_queries(spark.createDataFrame([("app-kg-001 ",), ("",), (None,)], "g string"), "g", "gap")
+    assert [(r.id, r.score) for r in S.search_parsed(rows, gap).orderBy("hit_rank").collect()] == [("contract", 75), ("gaps", 64)]
+    symbol = S.explicit_queries(spark.createDataFrame([("ExampleService",)], "s string"), "s", "symbol")
+    assert [(r.query, r.id, r.score) for r in S.search_parsed(S.restricted(rows, kinds=["code_anchor"]), symbol).collect()] == [("symbol ExampleService", "code", 89)]
 
 
 def test_chunks_sinks_and_changes(spark, tmp_path):
