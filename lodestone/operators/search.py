@@ -16,6 +16,10 @@ from lodestone.vocab import CONTEXT_KINDS, CONTRACT_KINDS, TRUST_RANK, lookup
 
 # What an exact symbol, the implementation of a symbol and an exact gap id add.
 SYMBOL_EXACT, SYMBOL_IMPLEMENTATION, GAP_EXACT, GAP_IN_CONTRACT = 80, 50, 50, 12
+# Fixed value: what a token that names a record's repository adds, once.
+NAMED_REPO = 3
+#: records that the rarest tokens of a query may bear together to give its first bound
+RARE_RECORDS = 1000
 # How far below the best score a hit may lie and still seed an impact analysis.
 SEED_RATIO, SEED_DELTA = 0.82, 8
 
@@ -145,18 +149,65 @@ def matched(docs: DataFrame, parsed: DataFrame) -> DataFrame:
     return materialize(token_matches(docs, parsed.select(F.explode("tokens").alias("token")).distinct()), "token-matches")
 
 
+def _parts(weights: DataFrame, matches: DataFrame, on: list[str] = ["token"]) -> DataFrame:  # noqa: B006
+    """(q, n, part, titled, names_repo, base): what each token of a query gives each record, or each given one."""
+    part = F.when(F.col("points") > 0, F.greatest(F.lit(1), F.bround(F.col("points") * F.col("weight")).cast("int"))).otherwise(0)
+    times = F.col("times").cast("int")
+    return weights.join(matches, on).select("q", "n", (part * times).alias("part"), F.when(F.col("in_title"), times).otherwise(0).alias("titled"), "names_repo", "base")
+
+
+def _sums(parts: DataFrame) -> DataFrame:
+    """(q, n, content, titled, named, base) of all parts of a query and a record, in one aggregation over two numbers."""
+    return parts.groupBy("q", "n").agg(F.sum("part").alias("content"), F.sum("titled").alias("titled"), F.max("names_repo").alias("named"), F.max("base").alias("base"))
+
+
+def _content() -> Column:
+    return F.col("content") + F.when(F.col("titled") >= 2, 3 * (F.col("titled") - 1)).otherwise(0)
+
+
+def _score() -> Column:
+    return (_content() + F.col("base") + F.when(F.col("named"), NAMED_REPO).otherwise(0)).cast("bigint")
+
+
+def _by_name(docs: DataFrame, parsed: DataFrame) -> DataFrame:
+    return exact_points(docs, parsed).select("q", "n", F.col("exact").alias("part"), F.lit(0).alias("titled"), F.lit(False).alias("names_repo"), "base")
+
+
 def scored(docs: DataFrame, parsed: DataFrame, matches: DataFrame) -> DataFrame:
-    """(q, n, score) of all records that a query matches; both sides numbered.
+    """(q, n, score) of all records that a query matches; both sides numbered."""
+    weights = token_weights(docs, parsed, matches).select("q", "token", "times", "weight")
+    return _sums(_parts(weights, matches).unionByName(_by_name(docs, parsed))).where(_content() > 0).select("q", "n", _score().alias("score"))
 
-    All contributions of a query and a record meet in one aggregation over two numbers.
+
+def scored_near(docs: DataFrame, parsed: DataFrame, matches: DataFrame, limit: int) -> DataFrame:
+    """(q, n, score) of all records that can be among the first ``limit`` of a query, with ties, and some more.
+
+    Scores of the rarest tokens alone give a bound that ``limit`` records reach.  The most common
+    tokens of a query whose points together can't lift a record to it don't make candidates: they
+    are added only to candidates that the query's other tokens make and that can still reach the
+    bound.  So the pairs of common tokens with most records are never written out.
     """
-    weights = token_weights(docs, parsed, matches).select("q", "token", F.col("times").cast("int").alias("times"), "weight")
-    part = F.when(F.col("points") > 0, F.greatest(F.lit(1), F.bround(F.col("points") * F.col("weight")).cast("int"))).otherwise(0)
-    by_token = weights.join(matches, "token").select("q", "n", (part * F.col("times")).alias("part"), F.when(F.col("in_title"), F.col("times")).otherwise(0).alias("titled"), "names_repo", "base")
-    by_name = exact_points(docs, parsed).select("q", "n", F.col("exact").alias("part"), F.lit(0).alias("titled"), F.lit(False).alias("names_repo"), "base")
-    both = by_token.unionByName(by_name).groupBy("q", "n").agg(F.sum("part").alias("content"), F.sum("titled").alias("titled"), F.max("names_repo").alias("named"), F.max("base").alias("base"))
-    content = F.col("content") + F.when(F.col("titled") >= 2, 3 * (F.col("titled") - 1)).otherwise(0)
-    return both.where(content > 0).select("q", "n", (content + F.col("base") + F.when(F.col("named"), 3).otherwise(0)).cast("bigint").alias("score"))
+    of_token = matches.groupBy("token").agg(F.count("*").alias("held"), F.max("points").alias("most"), F.max("in_title").alias("any_title"))
+    most = F.when(F.col("most") > 0, F.greatest(F.lit(1), F.bround(F.col("most") * F.col("weight")).cast("int"))).otherwise(0) + F.when(F.col("any_title"), 3).otherwise(0)
+    weights = materialize(token_weights(docs, parsed, matches).join(of_token, "token").select("q", "token", "times", "weight", "held", (most * F.col("times")).alias("most")), "token-bounds")
+    by_name = materialize(_by_name(docs, parsed), "exact-points")
+    rarest = Window.partitionBy("q").orderBy("held", "token")
+    rare = weights.withColumn("_sum", F.sum("held").over(rarest.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_r", F.row_number().over(rarest)).where((F.col("_r") == 1) | (F.col("_sum") <= RARE_RECORDS))
+    low = _sums(_parts(rare, matches).unionByName(by_name)).where(_content() > 0).select("q", _score().alias("score"))
+    reached = low.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc()))).where(F.col("_r") == limit).select("q", F.col("score").alias("bound"))
+    base = docs.agg(F.coalesce(F.max(base_points()), F.lit(0)).alias("most_base"))
+    commonest = Window.partitionBy("q").orderBy(F.col("held").desc(), "token").rowsBetween(Window.unboundedPreceding, 0)
+    lifted = F.sum("most").over(commonest) + F.col("most_base") + NAMED_REPO
+    ranked = materialize(weights.join(reached, "q", "left").crossJoin(base).withColumn("common", F.coalesce(lifted < F.col("bound"), F.lit(False))), "token-roles")  # one row of base
+    common = ranked.where("common")
+    added = ranked.groupBy("q").agg(F.max("bound").alias("bound"), F.sum(F.when(F.col("common"), F.col("most")).otherwise(0)).alias("added"))
+    candidates = _sums(_parts(ranked.where("not common"), matches).unionByName(by_name))
+    near = candidates.join(added, "q", "left").where(F.col("bound").isNull() | (_score() + F.col("added") + NAMED_REPO >= F.col("bound"))).drop("bound", "added")
+    near = materialize(near, "candidates")
+    keys = near.select("q", "n").join(common.select("q", "token", "times", "weight"), "q")
+    completed = _parts(keys, matches, ["token", "n"])
+    whole = near.select("q", "n", F.col("content").alias("part"), "titled", F.col("named").alias("names_repo"), "base").unionByName(completed)
+    return _sums(whole).where(_content() > 0).select("q", "n", _score().alias("score"))
 
 
 def search(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
@@ -176,7 +227,7 @@ def search_parsed(docs: DataFrame, parsed: DataFrame, limit: int = 10) -> DataFr
 
 def best(docs: DataFrame, parsed: DataFrame, matches: DataFrame, limit: int) -> DataFrame:
     """The same for numbered records and queries whose matches are known, so that several searches share them."""
-    near = scored(docs, parsed, matches).withColumn("_r", F.rank().over(Window.partitionBy("q").orderBy(F.col("score").desc()))).where(F.col("_r") <= limit)
+    near = scored_near(docs, parsed, matches, limit).withColumn("_r", F.rank().over(Window.partitionBy("q").orderBy(F.col("score").desc()))).where(F.col("_r") <= limit)
     named = near.join(docs.select("n", "id", "repo", "path", "kind"), "n").join(parsed.select(F.col("n").alias("q"), "query"), "q")
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), F.coalesce(F.col("path"), F.lit("")), "id")
     return named.withColumn("hit_rank", F.row_number().over(order)).where(F.col("hit_rank") <= limit).select("query", "hit_rank", "id", "repo", "path", "kind", "score")
