@@ -8,6 +8,7 @@ from lodestone.operators import search as S
 from lodestone.sources import collectors as C
 from lodestone.sources import sinks
 from lodestone.sources import workspace as W
+from lodestone.storage import materialize
 
 FILES = {
     "app/docs/contracts/example-contract.md": "---\nid: APP-CONTRACT-001\nstatus: draft\nowner:\n  team: t\nrelated_anchors:\n  - ExampleService\n  - Other.run\n---\n# Example application contract\nSee `ExampleService`, APP-KG-001.\n## Inputs\n",
@@ -135,7 +136,7 @@ def laid_out(root, texts):
 
 def test_whole_workspace(spark, tmp_path):
     found = W.files(spark, laid_out(tmp_path, SMALL))
-    records, chunks = W.workspace_records(found), W.workspace_chunks(found)
+    records, chunks = materialize(W.workspace_records(found), "records"), materialize(W.workspace_chunks(found), "chunks")
     got = {r.id: r for r in W.workspace_links(records, chunks).collect()}
     shown = {i: (r.kind, r.title, r.weight, r.source_type, r.trust_level, r.known_gap_ids, r.line_start, r.line_end) for i, r in got.items()}
     contract, adr, gaps = "doc:app:docs:contracts:example-contract", "doc:app:docs:adrs:example-adr", "doc:app:docs:known-gaps"
